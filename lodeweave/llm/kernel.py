@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 120_000
 U = np.uint64
@@ -92,12 +93,14 @@ def code_points(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(col: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, code points, starts) for runs of rows of about `size` code points."""
-    cp, at = code_points(col)
-    row, n = 0, len(at) - 1
+    """(first row, row after the last, code points, starts) for runs of rows of about `size` bytes; only one run is decoded at a time."""
+    off = np.zeros(len(col) + 1, np.int64)
+    np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(), out=off[1:])
+    row, n = 0, len(col)
     while row < n:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
-        yield row, end, cp[at[row] : at[end]], at[row : end + 1] - at[row]
+        end = max(row + 1, int(np.searchsorted(off, off[row] + size, "right")) - 1)
+        cp, at = code_points(col.slice(row, end - row))
+        yield row, end, cp, at
         row = end
 
 
