@@ -48,7 +48,7 @@ def sequenced(df: DataFrame, name: str, order: Sequence[str], start: int = 0) ->
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # one row a partition
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
     w = Window.partitionBy("_range").orderBy(*order)
-    return ranged.withColumn("_i", F.row_number().over(w)).join(F.broadcast(before), "_range").withColumn(name, F.col("_i") + F.col("_before") + (start - 1)).drop("_i", "_before", "_range")
+    return ranged.withColumn("_within", F.row_number().over(w)).join(F.broadcast(before), "_range").withColumn(name, F.col("_within") + F.col("_before") + (start - 1)).drop("_within", "_before", "_range")
 
 
 def next_id(df: DataFrame, c: str) -> DataFrame:
