@@ -4,7 +4,7 @@ import pytest
 
 from lodeweave import plans
 
-from conftest import SMALL, same
+from tests.conftest import SMALL, same
 
 
 @pytest.mark.parametrize("name", sorted(plans.SQL))
