@@ -39,8 +39,8 @@ ABSTAIN = len(KINDS)
 LABELERS = ("format", "shape", "checksum", "gazetteer", "context", "part")
 PREFILTER = r"@|\d[\d().+/ -]{5,}\d|[A-Z]{2}\d{2}[A-Z0-9]{11}"
 _CANDIDATE = re.compile(
-    r"[\w.%+'-]+@[\w-]+(?:\.[\w-]+)*|(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])|\d{1,3}(?:\.\d{1,3}){3}(?![\d])"
-    r"|\d{4}(?:[ -]\d{4}){3}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![A-Za-z0-9])(?:\+?\d[\d.\-/]{5,}\d|\d{7,})(?![A-Za-z])"
+    r"[\w.%+'-]{1,64}@[\w-]+(?:\.[\w-]+)*|(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])|\d{1,3}(?:\.\d{1,3}){3}(?![\d])"
+    r"|\d{4}(?:[ -]\d{4}){3}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![A-Za-z0-9])(?:\+?\d[\d.\-/]{5,40}\d|\d{7,})(?![A-Za-z])"
 )
 _FORMATS = (
     (EMAIL, re.compile(r"[\w.%+'-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")), (IP, re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}")),
@@ -126,8 +126,8 @@ class Model:
     """Reliabilities by EM, and the classifier."""
 
     def __init__(self, patterns: list[tuple[tuple[int, ...], tuple[int, ...], int]], rounds: int = 60):
-        v = np.array([p[0] for p in patterns]).reshape(-1, len(LABELERS))
-        self.x = np.array([p[1] for p in patterns]).reshape(-1, len(SIZES))
+        v = np.array([p[0] for p in patterns], int).reshape(-1, len(LABELERS))
+        self.x = np.array([p[1] for p in patterns], int).reshape(-1, len(SIZES))
         n = np.array([p[2] for p in patterns], float)
         k = len(KINDS)
         q = np.full((len(n), k), 0.1)

@@ -47,7 +47,7 @@ RULES = (
     ("google api key", re.compile(r"AIza[A-Za-z0-9_-]{35}")),
     ("stripe key", re.compile(r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}")),
     ("private key", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
-    ("json web token", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("json web token", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("password in url", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{3,64})@")),
     ("assigned secret", re.compile(r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)[\"']?\s{0,4}(?:=>|:=|=|:)\s{0,4}[\"']?([^\s\"'<>,;]{8,})")),
 )
@@ -56,10 +56,12 @@ _PREFILTER = (
     r"|(?i:token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)[\"']?\s{0,4}[=:]"
     r"|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}"
 )
-_PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
-_ESCAPED = re.compile(r"[^\s\"'<>]*\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})[^\s\"'<>]*")
+_RUN = re.compile(r"[^\s\"'<>]+")
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_ESCAPED = re.compile(r"\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})")
 _ONE_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
-_BASE64 = re.compile(rf"(?:[A-Za-z0-9+/]{{{SHORTEST},}}|[A-Za-z0-9_-]{{{SHORTEST},}})={{0,2}}")
+#: A run of either alphabet may border on a character of the other one, so each is tried, and both together.
+_BASE64 = tuple(re.compile(rf"[{a}]{{{SHORTEST},}}={{0,2}}") for a in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9+/_-"))
 
 
 def _text(raw: bytes) -> str | None:
@@ -180,7 +182,16 @@ def _base64(part: str, a: int) -> Iterator[tuple[str, str | None, list[tuple[int
         yield "base64" + got[0], got[1], None
 
 
-DECODERS = ((_PERCENT, _percent), (_ESCAPED, _escapes), (_BASE64, _base64))
+def parts(text: str) -> Iterator[tuple[int, int, str, str | None, list[tuple[int, int]] | None]]:
+    """(start, end, method, text inside, its characters' spans) of all encoded parts of a layer, in time linear in its length."""
+    for mark, escape, decode in (("%", _PERCENT, _percent), ("\\", _ESCAPED, _escapes)):
+        if escape.search(text):
+            for m in _RUN.finditer(text):
+                if mark in m[0] and escape.search(m[0]):
+                    yield from ((*m.span(), *got) for got in decode(m[0], m.start()))
+    for pattern in _BASE64:
+        for m in pattern.finditer(text):
+            yield from ((*m.span(), *got) for got in _base64(m[0], m.start()))
 
 
 def scan(text: str) -> list[tuple[str, str, int, int, int, str]]:
@@ -194,15 +205,13 @@ def scan(text: str) -> list[tuple[str, str, int, int, int, str]]:
                 k = pattern.groups
                 s, e = layer.span(m.start(k), m.end(k))
                 found.setdefault((rule, s, e, m[k]), (len(layer.path), ">".join(layer.path)))
-        for pattern, decode in DECODERS:
-            for m in pattern.finditer(layer.text):
-                for method, inside, from_ in decode(m[0], m.start()):
-                    if inside is None:
-                        s, e = layer.span(*m.span())
-                        found.setdefault((OVERSIZE, s, e, ""), (len(layer.path) + 1, ">".join((*layer.path, *method.split(">")))))
-                    elif (new := layer.inner(inside, method, *m.span(), from_)) and (key := (inside, *layer.span(*m.span()))) not in queued:
-                        queued.add(key)
-                        work.append(new)
+        for a, b, method, inside, from_ in parts(layer.text):
+            s, e = layer.span(a, b)
+            if inside is None:
+                found.setdefault((OVERSIZE, s, e, ""), (len(layer.path) + 1, ">".join((*layer.path, *method.split(">")))))
+            elif (inside, s, e) not in queued and (new := layer.inner(inside, method, a, b, from_)):
+                queued.add((inside, s, e))
+                work.append(new)
     return sorted((rule, path, depth, s, e, secret) for (rule, s, e, secret), (depth, path) in found.items())
 
 
