@@ -1,30 +1,8 @@
-"""What all corpus operators share about the cluster: the shared folder, tables, and checks of size."""
+"""What the corpus operators use of the cluster: the shared folder and the tables."""
 
 from __future__ import annotations
 
-import tempfile
+from ..session import cut, shared
+from ..sources.files import table
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the folder of spark.checkpoint.dir; a temporary one only in local mode where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lodeweave-")
-    sc.setCheckpointDir(folder)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder: lineage ends here and survives lost executors."""
-    shared(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["cut", "shared", "table"]
