@@ -74,7 +74,7 @@ def persons(df: DataFrame) -> Model:
     actor = first_wins(ok.filter("CastID is not null"), ["CastID"], ["_pos"])
     role = df.select("_pos", F.col("Character").alias("character"), F.col("CastID").alias("actor_id"), F.col("MovieID").try_cast("long").alias("movie_id"))
     return Model(
-        {"actor": actor.select(F.col("CastID").alias("id"), F.col("Name").alias("name"), gender.alias("gender"), F.lit(None).cast("string").alias("res_country")), "role": sequenced(role, "id", ["_pos"], 1).select("id", "character", "actor_id", "movie_id")},
+        {"actor": actor.select(F.col("CastID").alias("id"), F.col("Name").alias("name"), gender.alias("gender"), F.lit(None).cast("string").alias("res_country")), "role": sequenced(role, "id", ["_pos"], 1).drop("_pos")},
         {"actor": bad.join(actor.select("CastID"), "CastID", "left_anti").select(F.col("CastID").alias("id"), F.col("Name").alias("name"), F.col("Gender").alias("gender")).distinct()},
     )
 
@@ -121,7 +121,7 @@ def build(movie_rows: DataFrame, person_rows: DataFrame, rating_rows: DataFrame,
         for name in ("movie", "actor"):
             out.tables[name] = out.tables[name].unionByName(more.tables[name])
         new = sequenced(more.tables["role"], "_i", ["movie_id", "n"], 0).crossJoin(F.broadcast(next_id(out.tables["role"], "id")))
-        out.tables["role"] = out.tables["role"].unionByName(new.select((F.col("_i") + F.col("next_id")).alias("id"), "character", "actor_id", "movie_id"))
+        out.tables["role"] = out.tables["role"].unionByName(new.withColumn("id", F.col("_i") + F.col("next_id")).drop("_i", "next_id", "n"))
         out.tables["director"] = more.tables["director"]
         out.rejects["imdb"] = more.rejects["movie"]
     return out
