@@ -22,6 +22,8 @@ An n-gram's key is a hash of as many bits as the corpus needs: two n-grams share
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,15 @@ ORDER, PRUNE, BLOCK, BUCKETS, UNKNOWN = 3, 2, 6_000_000, 1 << 16, 1 << 20
 MU = (1000.0, 500.0, 50.0)  # of the empty history, one word, two words
 
 
+def trim() -> None:
+    """Give the memory of a finished group back, as the workers of an executor share its limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def planes(x: np.ndarray) -> bytes:
     """Integers by byte planes."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
@@ -82,6 +93,7 @@ def _ask(buckets: int, bits: int):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
+        trim()
         block = t.column("block")[0].as_py()
         hashes, rows, _ = read(t.column("text").combine_chunks(), bits)
         key, n = known(hashes)
@@ -98,6 +110,7 @@ def _answer(prune: int):
     schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("words", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
+        trim()
         keys, counts = (pa.chunked_array(t.column(c).chunks) for c in ("keys", "counts"))
         parts = [unplanes(k.as_py(), np.uint64) for k in keys]
         _, back = np.unique(np.concatenate(parts), return_inverse=True)
@@ -145,6 +158,7 @@ def _score(bits: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
+        trim()
         hashes, rows, size = read(docs.column("text").combine_chunks(), bits)
         order = np.argsort(answers.column("bucket").to_numpy())
         raw = answers.column("totals")
