@@ -79,6 +79,47 @@ def test_large_groups_and_hot_regions(spark):
     assert not any(i >= 5000 for i in got)
 
 
+@pytest.mark.parametrize("share", [0.08, 0.1, 0.12])
+def test_star_shaped_groups_equal_brute_force(spark, share):
+    """Copies close to the original but not to each other: grouped as comparing all signatures groups them."""
+    rng = random.Random(11)
+    origin = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+    rows = [(i, edited(rng, origin, share if i != 700 else 0)) for i in range(2000)]
+    cp, at = kernel.code_points(pa.array([t for _, t in rows]))
+    low = neardup.signatures(cp, at, neardup.TREES * neardup.DEPTH)[1].astype(np.uint8)
+    left, group, want = np.ones(2000, bool), [700], set()
+    left[700] = False
+    while group:
+        i = group.pop()
+        want.add(i)
+        new = left & (((low == low[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= neardup.THRESHOLD)
+        left &= ~new
+        group += np.flatnonzero(new).tolist()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    top = max(Counter(r.duplicate_of for r in got).items(), key=lambda x: x[1])[0]
+    group = {r.doc_id for r in got if r.duplicate_of == top} | {top}
+    assert group <= want and len(group) >= 0.95 * len(want) and len(want) > 1000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 2**32))
+def test_links_connect_what_all_pairs_connect(n, seed):
+    low = np.random.default_rng(seed).integers(0, 3, (n, 20)).astype(np.uint8)
+    low[n // 2 :] = low[: n - n // 2]
+    low[n // 2 :, :5] = 7
+
+    def labels(pairs):
+        root = list(range(n))
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = [x if r == y else r for r in root]
+        return {frozenset(i for i in range(n) if root[i] == r) for r in root}
+
+    for threshold in (0.4, 0.6, 0.75):
+        every = [(a, b) for a in range(n) for b in range(a) if ((low[a] == low[b]).mean() - 1 / 256) / (1 - 1 / 256) >= threshold]
+        assert labels(neardup.links(low, threshold)) == labels(every)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + k) for k in range(1, 50)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(7, 7)]
