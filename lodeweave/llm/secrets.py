@@ -1,9 +1,9 @@
 """Secret scan by a recursive decoding worklist.
 
 A text is the first layer. Every layer is scanned by all rules, and searched for encoded parts: percent
-escapes, Unicode escapes (backslash u, x or U), base64 (both alphabets) and, in decoded bytes, gzip, zlib, bzip2, xz and zstandard. Each part that
-decodes to text is a new layer, put on the worklist; what decodes to bytes is decompressed as far as it
-goes. A text seen before on the way to the same part is not queued again, so cycles end and the worklist
+escapes, Unicode escapes (backslash u, x or U), base64 (both alphabets, also wrapped to lines) and, in decoded bytes, gzip, zlib, bzip2, xz and zstandard. Each part that
+decodes is a new layer, put on the worklist; compressed bytes are decompressed as far as it
+goes, all their members and what follows them. Bytes that aren't UTF-8 are read as Latin-1. A text seen before on the way to the same part is not queued again, so cycles end and the worklist
 runs to its fixpoint. Each layer keeps, by character, the span of the first layer that it comes
 from, so a finding anywhere is reported at its place in the document. A secret found in several layers at one place is
 reported once, in the shallowest.
@@ -62,51 +62,74 @@ _ESCAPED = re.compile(r"\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{
 _ONE_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 #: A run of either alphabet may border on a character of the other one, so each is tried, and both together.
 _BASE64 = tuple(re.compile(rf"[{a}]{{{SHORTEST},}}={{0,2}}") for a in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9+/_-"))
+#: The same over several lines, indented or quoted or not; the first is as long as a run.
+_LINES = tuple((re.compile(rf"(?<![{a}])[{a}]{{{SHORTEST},}}+(?:[ \t]*+\r?\n[ \t>]*+[{a}]++)++={{0,2}}"), re.compile(rf"[{a}]+={{0,2}}")) for a in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9+/_-"))
+_MAGIC = ((b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"))
 
 
-def _text(raw: bytes) -> str | None:
-    """raw as text, if it is UTF-8 and hardly any of it is a control character."""
+def _text(raw: bytes) -> str:
+    """raw as UTF-8, or else as Latin-1."""
     try:
-        s = raw.decode("utf-8")
+        return raw.decode("utf-8")
     except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+def _method(raw: bytes) -> str | None:
+    """The compression that raw begins like."""
+    if raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        return "zlib"
+    return next((name for magic, name in _MAGIC if raw.startswith(magic)), None)
+
+
+def _member(method: str, raw: bytes, most: int) -> tuple[bytes, bytes]:
+    """The content of the first member of compressed bytes, up to about `most`, and what follows the member."""
+    if method in ("gzip", "zlib"):
+        d = zlib.decompressobj(31 if method == "gzip" else 15)
+        return d.decompress(raw, most), d.unused_data
+    if method == "zstd":
+        import zstandard
+
+        d = zstandard.ZstdDecompressor().decompressobj()
+        return d.decompress(raw)[:most], d.unused_data
+    d = bz2.BZ2Decompressor() if method == "bzip2" else lzma.LZMADecompressor()
+    return d.decompress(raw, most), d.unused_data
+
+
+def _inflate(raw: bytes) -> tuple[str, bytes, bytes] | None:
+    """Method and content of compressed bytes, of all their members, and what follows them; None if they aren't. Content of more than LARGEST bytes is cut just beyond."""
+    if (method := _method(raw)) is None:
         return None
-    odd = sum(not (c.isprintable() or c in "\n\r\t") for c in s)
-    return s if s and odd * 20 <= len(s) else None
+    parts, size = [], 0
+    while size <= LARGEST and _method(raw) == method:
+        try:
+            content, raw = _member(method, raw, LARGEST + 1 - size)
+        except Exception as e:  # noqa: BLE001 - each library has errors of its own for bytes that only look compressed
+            if isinstance(e, MemoryError):
+                raise
+            if not parts:
+                return None
+            break
+        parts.append(content)
+        size += len(content)
+    return method, b"".join(parts), raw
 
 
-def _inflate(raw: bytes) -> tuple[str, bytes] | None:
-    """Method and content of compressed bytes; None if they aren't. Content of more than LARGEST bytes is cut just beyond."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return "gzip", zlib.decompressobj(31).decompress(raw, LARGEST + 1)
-        if raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            return "zlib", zlib.decompressobj().decompress(raw, LARGEST + 1)
-        if raw[:3] == b"BZh":
-            return "bzip2", bz2.BZ2Decompressor().decompress(raw, LARGEST + 1)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return "xz", lzma.LZMADecompressor().decompress(raw, LARGEST + 1)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return "zstd", zstandard.ZstdDecompressor().decompressobj().decompress(raw)[: LARGEST + 1]
-    except Exception as e:  # noqa: BLE001 - each library has errors of its own for bytes that only look compressed
-        if isinstance(e, MemoryError):
-            raise
-    return None
-
-
-def unwrap(raw: bytes) -> tuple[str, str | None] | None:
-    """Methods of the compression around raw (each with '>' before it), and the text inside, None if it is oversize."""
-    path, seen = "", set()
-    while raw not in seen:
+def unwrap(raw: bytes) -> list[tuple[str, str | None]]:
+    """Methods of the compression around raw (each with '>' before it), and the text inside, None if it is oversize; and so for what follows compressed bytes."""
+    out, work, seen = [], [("", raw)], set()
+    while work:
+        path, raw = work.pop()
+        if raw in seen:
+            continue
         seen.add(raw)
-        if (inner := _inflate(raw)) is None:
-            break
-        path, raw = f"{path}>{inner[0]}", inner[1]
-        if len(raw) > LARGEST:
-            return path, None
-    s = _text(raw)
-    return None if s is None else (path, s)
+        if len(raw) > LARGEST and path:
+            out.append((path, None))
+        elif (inner := _inflate(raw)) is None:
+            out.append((path, _text(raw)))
+        else:
+            work += [(path, inner[2]), (f"{path}>{inner[0]}", inner[1])]
+    return [(path, s) for path, s in out if s != ""]
 
 
 class Layer:
@@ -124,7 +147,7 @@ class Layer:
             return None
         if from_ is None:
             s, e = self.span(a, b)
-            start, end = np.full(len(text), s), np.full(len(text), e)
+            start, end = np.broadcast_to(s, len(text)), np.broadcast_to(e, len(text))
         else:
             spans = [self.span(x, y) for x, y in from_]
             start, end = np.array([s for s, _ in spans]), np.array([e for _, e in spans])
@@ -133,21 +156,18 @@ class Layer:
 
 def _percent(part: str, a: int) -> Iterator[tuple[str, str | None, list[tuple[int, int]] | None]]:
     raw = urllib.parse.unquote_to_bytes(part)
-    try:
-        raw.decode("utf-8")
-    except UnicodeDecodeError:
-        if got := unwrap(raw):
-            yield "percent" + got[0], got[1], None
-        return
+    if _method(raw):
+        yield from (("percent" + path, s, None) for path, s in unwrap(raw) if path)
     text, from_, i = [], [], 0
     for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", part):
         for k in range(i, m.start()):
             text.append(part[k])
             from_.append((a + k, a + k + 1))
         k = m.start()
-        for c in urllib.parse.unquote_to_bytes(m[0]).decode("utf-8"):
-            n = 3 * len(c.encode())
-            text.append(c)
+        for c in urllib.parse.unquote_to_bytes(m[0]).decode("utf-8", "surrogateescape"):
+            odd = 0xDC80 <= ord(c) < 0xDD00  # a byte that is no UTF-8
+            n = 3 if odd else 3 * len(c.encode())
+            text.append(chr(ord(c) - 0xDC00) if odd else c)
             from_.append((a + k, a + k + n))
             k += n
         i = m.end()
@@ -172,14 +192,27 @@ def _escapes(part: str, a: int) -> Iterator[tuple[str, str | None, list[tuple[in
 
 def _base64(part: str, a: int) -> Iterator[tuple[str, str | None, list[tuple[int, int]] | None]]:
     body = part.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return
+    if len(body) % 4 == 1:  # the last character belongs to what follows
+        body = body[:-1]
     try:
         raw = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return
-    if got := unwrap(raw):
-        yield "base64" + got[0], got[1], None
+    yield from (("base64" + path, s, None) for path, s in unwrap(raw))
+
+
+def _wrapped(lines: list[re.Match]) -> Iterator[tuple[int, int]]:
+    """First and last of the adjacent lines of base64 that may be one part: all of them, and those of one length with the shorter line after them."""
+    yield 0, len(lines) - 1
+    i = 0
+    while i < len(lines):
+        k = i
+        while k + 1 < len(lines) and len(lines[k + 1][0]) == len(lines[i][0]):
+            k += 1
+        last = k + 1 if k + 1 < len(lines) and len(lines[k + 1][0].rstrip("=")) < len(lines[i][0]) else k
+        if last > i and (i, last) != (0, len(lines) - 1):
+            yield i, last
+        i = k + 1
 
 
 def parts(text: str) -> Iterator[tuple[int, int, str, str | None, list[tuple[int, int]] | None]]:
@@ -192,6 +225,12 @@ def parts(text: str) -> Iterator[tuple[int, int, str, str | None, list[tuple[int
     for pattern in _BASE64:
         for m in pattern.finditer(text):
             yield from ((*m.span(), *got) for got in _base64(m[0], m.start()))
+    for block, line in _LINES:
+        for m in block.finditer(text):
+            lines = list(line.finditer(text, *m.span()))
+            for i, k in _wrapped(lines):
+                a, b = lines[i].start(), lines[k].end()
+                yield from ((a, b, *got) for got in _base64("".join(x[0] for x in lines[i : k + 1]), a))
 
 
 def scan(text: str) -> list[tuple[str, str, int, int, int, str]]:
@@ -212,6 +251,12 @@ def scan(text: str) -> list[tuple[str, str, int, int, int, str]]:
             elif (inside, s, e) not in queued and (new := layer.inner(inside, method, a, b, from_)):
                 queued.add((inside, s, e))
                 work.append(new)
+    near: dict[tuple[str, str], int] = {}
+    for rule, s, e, secret in sorted(found, key=lambda f: (-f[1], f[2])):  # of decodings of one part within the other, the narrower
+        if found[rule, s, e, secret][0]:
+            if near.get((rule, secret), len(text) + 1) <= e:
+                del found[rule, s, e, secret]
+            near[rule, secret] = min(e, near.get((rule, secret), e))
     return sorted((rule, path, depth, s, e, secret) for (rule, s, e, secret), (depth, path) in found.items())
 
 

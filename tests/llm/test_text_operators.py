@@ -3,7 +3,9 @@
 import base64
 import bz2
 import gzip
+import lzma
 import math
+import random
 import re
 import urllib.parse
 import zlib
@@ -12,6 +14,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -53,6 +56,39 @@ def test_cycles_and_bombs_end():
     assert [f[0] for f in secrets.scan(bomb)] == [secrets.OVERSIZE]
 
 
+def secrets_in(text):
+    return {f[5] for f in secrets.scan(text) if f[0] == "aws access key"}
+
+
+def test_percent_escapes_that_are_no_utf8():
+    text = f"see ?q=caf%E9&k=%41{KEY[1:]}&z=%C3%A9 end"
+    (f,) = (f for f in secrets.scan(text) if f[0] == "aws access key")
+    assert f[5] == KEY and text[f[3] : f[4]] == f"%41{KEY[1:]}"
+
+
+@pytest.mark.parametrize("compress", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_all_members_of_compressed_bytes(compress):
+    two = compress(b"one AKIAIOSF") + compress(b"ODNN7EXAMPLE two ")
+    for raw in (two, compress(b"one") + compress(b"two") + compress(f" {KEY}".encode()), two + f" and {KEY}".encode(), compress(two)):
+        assert secrets_in(f"x {base64.b64encode(raw).decode()} y") == {KEY}
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\n> "])
+def test_base64_over_several_lines(end):
+    body = "".join(random.Random(4).choices("abcdefgh ", k=150)) + KEY + " and more of it" * 9
+    for raw in (body.encode(), gzip.compress(body.encode()), bz2.compress(body.encode())):
+        for width in (64, 76):
+            code = base64.b64encode(raw).decode()
+            wrapped = end.join(code[i : i + width] for i in range(0, len(code), width))
+            for text in (f"Encoded:\n\n{wrapped}\n\nend", f"/a/path/to/some/file{end}{wrapped}{end}After it", wrapped):
+                assert secrets_in(text) == {KEY}
+
+
+def test_bytes_that_are_no_utf8_are_scanned():
+    assert secrets_in(base64.b64encode(f"clé secrète: {KEY}".encode("latin-1")).decode()) == {KEY}
+    assert secrets_in(base64.b64encode(b"\x00\x01\x02\x03\x04\xff " + KEY.encode()).decode()) == {KEY}
+
+
 def test_secret_query_loses_nothing_to_its_prefilter(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     want = sorted((d.doc_id, *f) for d in docs for f in secrets.scan(d.text))
