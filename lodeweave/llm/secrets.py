@@ -53,7 +53,7 @@ RULES = (
 )
 _PREFILTER = (
     r"A(?:KIA|SIA|GPA|ROA|IDA)|AIza|gh[pousr]_|github_pat_|xox[abeoprs]-|[rs]k_(?:live|test)_|PRIVATE KEY|eyJ|://"
-    r"|(?i:token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)[\"']?\s{0,4}[=:]"
+    r"|(?i:token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)[\"']?[\s\v\x1c-\x1f\x85\p{Z}]{0,4}[=:]"  # RE2, of which \s is ASCII only
     r"|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}"
 )
 _RUN = re.compile(r"[^\s\"'<>]+")

@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -95,6 +96,12 @@ def test_secret_query_loses_nothing_to_its_prefilter(spark):
     assert sorted(map(tuple, secrets.op1_secret_scan(spark, SMALL).collect())) == want
 
 
+@pytest.mark.parametrize("space", [c for c in map(chr, range(0x3100)) if c.isspace()])
+def test_prefilter_knows_all_white_space(space):
+    text = f"le secret{space}: hunter22xyz"
+    assert secrets.scan(text) and pc.match_substring_regex(pa.array([text]), secrets._PREFILTER)[0].as_py()
+
+
 def test_quality_scores_equal_a_plain_computation(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     labels = defaultdict(set)
