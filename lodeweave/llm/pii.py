@@ -1,7 +1,7 @@
 """Personal data by weak supervision: regex, gazetteer and context labelers vote on candidate spans.
 
-1. Candidates: anything that looks like an address with an at sign, an account number, or a run of digits and
-   separators of seven characters or more.
+1. Candidates: anything that looks like an address with an at sign, an account number (in groups or not), or a run of digits and
+   separators, blanks included, of seven characters or more. What a run holds of known formats are candidates of their own.
 2. Labelers vote on each candidate for a kind (EMAIL, PHONE, IP, CARD, SSN, IBAN) or NONE, or abstain:
    strict formats, loose shape, checksums, a gazetteer (country calling codes, card issuers, top-level domains, special
    networks), words to the left of the span, and what the span is part of.
@@ -37,7 +37,15 @@ KINDS = ("NONE", "EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
 NONE, EMAIL, PHONE, IP, CARD, SSN, IBAN = range(len(KINDS))
 ABSTAIN = len(KINDS)
 LABELERS = ("format", "shape", "checksum", "gazetteer", "context", "part")
-PREFILTER = r"@|\d[\d().+/ -]{5,}\d|[A-Z]{2}\d{2}[A-Z0-9]{11}"
+PREFILTER = r"@|\p{Nd}[\p{Nd}().+/\p{Z}-]{5,}\p{Nd}|[A-Z]{2}\p{Nd}{2}[A-Z0-9]{11}|[A-Z]{2}\p{Nd}{2}\p{Z}[A-Z0-9]{4}\p{Z}"
+_BLANK = " \u00a0\u2007\u2009\u202f"
+_GROUPED_IBAN = rf"[A-Z]{{2}}\d{{2}}(?:[{_BLANK}][A-Z0-9]{{4}}){{2,7}}(?:[{_BLANK}][A-Z0-9]{{1,3}})?"
+_AMEX = rf"3[47]\d{{2}}[{_BLANK}-]\d{{6}}[{_BLANK}-]\d{{5}}"
+_INTERNATIONAL = rf"(?:\+|00)[1-9](?:[{_BLANK}.\-/()]{{0,3}}\d){{6,14}}"
+_NATIONAL = rf"0[1-9](?:[{_BLANK}.\-/]\d{{2}}){{4}}|(?:\(0[1-9]\d{{0,4}}\)|0[1-9]\d{{0,4}})(?:[{_BLANK}]?[/-][{_BLANK}]?|[{_BLANK}])\d{{2,8}}(?:[{_BLANK}-]\d{{2,6}}){{0,3}}"
+#: Formats with blanks, of which the general ones would take a part only.
+_GROUPED = re.compile(rf"(?<![A-Za-z0-9]){_GROUPED_IBAN}(?![A-Za-z0-9])|(?<![\w+]){_AMEX}(?!\d)|(?<![\w+.,/(-])(?:{_INTERNATIONAL}|{_NATIONAL})(?![\w])")
+_RUN = re.compile(rf"(?<![A-Za-z0-9])[+(]{{0,2}}\d[\d().+/{_BLANK}-]{{5,}}\d(?![A-Za-z])")
 _CANDIDATE = re.compile(
     r"[\w.%+'-]{1,64}@[\w-]+(?:\.[\w-]+)*|(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])|\d{1,3}(?:\.\d{1,3}){3}(?![\d])"
     r"|\d{4}(?:[ -]\d{4}){3}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![A-Za-z0-9])(?:\+?\d[\d.\-/]{5,40}\d|\d{7,})(?![A-Za-z])"
@@ -46,7 +54,9 @@ _FORMATS = (
     (EMAIL, re.compile(r"[\w.%+'-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")), (IP, re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}")),
     (SSN, re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")), (CARD, re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{13}")),
     (PHONE, re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}")), (IBAN, re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}")),
+    (IBAN, re.compile(_GROUPED_IBAN)), (CARD, re.compile(_AMEX)), (PHONE, re.compile(f"{_INTERNATIONAL}|{_NATIONAL}")),
 )
+_GENERAL = 6  # of the formats, those without blanks between groups of their own
 _CONTEXT = tuple((k, re.compile(rf"(?i)\b(?:{w})\W*(?:\w+\W+){{0,2}}$")) for k, w in (
     (EMAIL, r"e-?mail|mail|contact|courriel|correo"), (PHONE, r"phone|tel|call|fax|mobile|cell|telefon|téléphone|teléfono"), (CARD, r"card|visa|mastercard|amex|credit|karte|carte|tarjeta"),
     (IP, r"ip|host|server|address|login from"), (SSN, r"ssn|social security"), (IBAN, r"iban|account|konto|compte|cuenta"), (NONE, r"version|isbn|issn|doi|page|fig|figure|chapter|section|sha|hash|id|order|price|release"),
@@ -60,18 +70,25 @@ def _luhn(d: str) -> bool:
     return sum(int(c) if i % 2 == 0 else (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(c)] for i, c in enumerate(reversed(d))) % 10 == 0
 
 
+def _iban(value: str) -> bool:
+    plain = re.sub(r"\s", "", value)
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def votes(value: str, left: str, right: str) -> tuple[int, ...]:
     digits = re.sub(r"\D", "", value)
     strict = next((k for k, p in _FORMATS if p.fullmatch(value)), ABSTAIN)
     if "@" in value:
         shape = EMAIL
-    elif value.count(".") == 3 and len(digits) <= 12:
+    elif value.count(".") == 3 and len(digits) <= 12 and re.fullmatch(r"[\d.]+", value):
         shape = IP
     elif value[0].isalpha():
         shape = IBAN
+    elif re.search(r"\s", value) and strict == ABSTAIN and not _CANDIDATE.fullmatch(value):
+        shape = CARD if 13 <= len(digits) <= 19 and _luhn(digits) else NONE  # numbers side by side
     elif 13 <= len(digits) <= 19 and not re.search(r"[./()+]", value):
         shape = CARD
-    elif 9 <= len(digits) <= 15 and re.search(r"[()+]|\d[ .-]\d", value):
+    elif 9 <= len(digits) <= 15 and re.search(rf"[()+]|\d[{_BLANK}./-]{{1,3}}\d", value):
         shape = SSN if re.fullmatch(r"\d{3}-\d{2}-\d{4}", value) else PHONE
     else:
         shape = NONE
@@ -79,7 +96,7 @@ def votes(value: str, left: str, right: str) -> tuple[int, ...]:
     if shape == CARD and _luhn(digits):
         check = CARD
     elif shape == IBAN:
-        check = IBAN if int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1 else NONE
+        check = IBAN if _iban(value) else NONE
     elif shape == IP:
         check = IP if all(int(x or 999) < 256 for x in value.split(".")) else NONE
     gazetteer = ABSTAIN
@@ -97,7 +114,7 @@ def votes(value: str, left: str, right: str) -> tuple[int, ...]:
 
 
 #: Features of the span, each a small category, and how many values each has.
-SIZES = (2, 2, 13, 6, 5, 3, 3, 8, 3, 3)
+SIZES = (2, 2, 13, 6, 5, 6, 4, 8, 3, 3)
 
 
 def features(value: str, left: str, right: str) -> tuple[int, ...]:
@@ -105,16 +122,34 @@ def features(value: str, left: str, right: str) -> tuple[int, ...]:
     context = next((k for k, p in _CONTEXT if p.search(left)), ABSTAIN)
     edge = lambda c: 0 if not c or c.isspace() else 1 if c.isalnum() else 2
     return (
-        int("@" in value), int(value[0].isalpha()), min(n, 24) // 2, min(value.count("."), 5), min(value.count("-"), 4), min(value.count(" "), 2),
-        (value[0] == "+") + ("(" in value), context, edge(left[-1:]), edge(right[:1]),
+        int("@" in value), int(value[0].isalpha()), min(n, 24) // 2, min(value.count("."), 5), min(value.count("-"), 4), min(sum(map(str.isspace, value)), 5),
+        3 if value[0] == "0" and re.search(r"[^\d.]", value) else (value[0] == "+") + ("(" in value), context, edge(left[-1:]), edge(right[:1]),
     )
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, tuple[int, ...], tuple[int, ...]]]:
-    for m in _CANDIDATE.finditer(text):
+def _places(text: str) -> list[tuple[int, int]]:
+    """Spans of all candidates, in order: formats with blanks, in what is left the general ones, in what is left the other runs."""
+    got: list[tuple[int, int]] = []
+    for m in _GROUPED.finditer(text):
         a, b = m.span()
-        left, right = text[max(0, a - 40) : a], text[b : b + 2]
-        yield a, b, votes(m[0], left, right), features(m[0], left, right)
+        if text[a].isalpha():
+            ends = [a + k for k in range(len(m[0]), 14, -1) if not text[a + k : a + k + 1].isalnum()]
+            b = next((e for e in ends if _iban(text[a:e])), b if 2 * sum(map(str.isdigit, m[0])) >= len(m[0]) else a)
+        elif (one := _CANDIDATE.match(text, a)) and any(p.fullmatch(one[0]) for _, p in _FORMATS[:_GENERAL]):
+            if not (one.end() < b and text[one.end()] == "." and text[one.end() + 1].isdigit()):
+                continue
+        if b > a:
+            got.append((a, b))
+    for pattern in (_CANDIDATE, _RUN):
+        free = zip([0] + [b for _, b in got], [a for a, _ in got] + [len(text)])
+        got = sorted(got + [m.span() for a, b in free if b - a > 2 for m in pattern.finditer(text, a, b)])
+    return got
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, tuple[int, ...], tuple[int, ...]]]:
+    for a, b in _places(text):
+        left, right, value = text[max(0, a - 40) : a], text[b : b + 2], text[a:b]
+        yield a, b, votes(value, left, right), features(value, left, right)
 
 
 def _suspects(col: pa.Array) -> np.ndarray:
@@ -177,6 +212,17 @@ class Model:
         return int(p.argmax()), float(p.max())
 
 
+#: Usual forms, as a corpus may have too few of one to learn from; each counts as EXAMPLE spans. Labelers vote on them as on any other.
+EXAMPLE = 20
+_EXAMPLES = (
+    "06 12 34 56 78", "01.42.68.53.00", "01-42-68-53-00", "+33 6 12 34 56 78", "+33 1.42.68.53.00", "+49 30 1234567", "+49 171 2345678", "+49 (0)30 123456", "030 1234567", "030/1234567", "(030) 1234567", "0171 2345678", "0171 234 56 78",
+    "0171-2345678", "0049 30 1234567", "0033 6 12 34 56 78", "+44 20 7946 0958", "+44 (0)20 7946 0958", "020 7946 0958", "+34 612 345 678", "555-123-4567", "(555) 123-4567", "+1 555-123-4567", "555.123.4567",
+    "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "NL91 ABNA 0417 1643 00", "NO93 8601 1117 947", "DE89370400440532013000", "GB82WEST12345698765432",
+    "3782 822463 10005", "378282246310005", "4111 1111 1111 1111", "4111-1111-1111-1111", "10 20 30 40 50 60", "2019 2020 2021", "1 000 000", "12 500 000", "100 200 300", "1 2 3 4 5 6 7 8", "10 20 30 40 50 60 70", "10 20 30 40 50 60 70 80", "100 200 300 400 500", "1000 2000 3000 4000 5000", "2024-01-31", "31/12/2024", "31.12.2024", "2024-01-31 12 30",
+    "3.14159265", "0.12345678", "12345678", "1999-2004", "12.5 13.5 14.5", "5 10 15 20",
+)
+
+
 def fit(docs: DataFrame) -> Model:
     schema = pa.schema([("pattern", pa.string()), ("n", pa.int64())])
 
@@ -191,7 +237,11 @@ def fit(docs: DataFrame) -> Model:
         yield kernel.out({"pattern": list(found), "n": list(found.values())}, schema)
 
     rows = docs.select("text").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    parsed = sorted((tuple(map(int, r[0].split())), r[1]) for r in rows)
+    counts = {tuple(map(int, r[0].split())): r[1] for r in rows}
+    for value in _EXAMPLES:
+        for _, _, v, f in candidates(f"a {value} b"):
+            counts[v + f] = counts.get(v + f, 0) + EXAMPLE
+    parsed = sorted(counts.items())
     return Model([(p[: len(LABELERS)], p[len(LABELERS) :], n) for p, n in parsed])
 
 

@@ -167,6 +167,28 @@ def test_personal_data_leaves_the_rest(spark):
         assert pii.found(text, model, {}) == []
 
 
+@pytest.mark.parametrize("value,kind", [("07 98 11 22 33", "PHONE"), ("+33 6 98 76 54 32", "PHONE"), ("+33\u00a06\u00a098\u00a076\u00a054\u00a032", "PHONE"), ("05.61.22.33.44", "PHONE"), ("+49 40 7654321", "PHONE"), ("040 7654321", "PHONE"), ("(089) 765 4321", "PHONE"), ("0160 9876543", "PHONE"), ("DE75 5121 0800 1245 1261 99", "IBAN"), ("FR76 3000 6000 0112 3456 7890 189", "IBAN"), ("3714 496353 98431", "CARD"), ("٠٧ ٩٨ ١١ ٢٢ ٣٣", "PHONE")])
+def test_printed_forms_are_found_whole(spark, value, kind):
+    model = _model(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    text = f"Some words and {value} follow here"
+    assert [(text[a:b], pii.KINDS[k]) for a, b, k, _ in pii.found(text, model, {})] == [(value, kind)]
+    assert pii._suspects(pa.array([text])).tolist() == [0]
+
+
+def test_every_run_of_digits_and_separators_is_a_candidate():
+    for value in ("10 20 30 40 50 60", "1 000 000", "12.5 13.5 14.5", "1.2.3-4.5", "5 / 10 / 15", "20 30 (40) 50"):
+        assert [value] == [f"a {value} b"[a:b] for a, b, _, _ in pii.candidates(f"a {value} b")]
+
+
+def test_numbers_side_by_side_are_left_and_hide_nothing(spark):
+    model = _model(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    for text in ("rows 11 23 35 47 59 61 73", "about 3 000 000 people", "in 2019 2020 2021 again"):
+        assert pii.found(text, model, {}) == []
+    for value in ("97.51.17.173", "4111111111111111", "+1 (377) 555-0271"):
+        text = f"in 12345678 {value} 12 or so"
+        assert [text[a:b] for a, b, _, _ in pii.found(text, model, {})] == [value]
+
+
 def test_reliabilities_order_labelers():
     """A labeler that votes at random is believed less than one that agrees with the others."""
     good, bad = (pii.EMAIL, pii.EMAIL, pii.ABSTAIN, pii.EMAIL, pii.ABSTAIN, pii.ABSTAIN), (pii.IP, pii.IP, pii.IP, pii.ABSTAIN, pii.ABSTAIN, pii.ABSTAIN)
