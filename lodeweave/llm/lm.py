@@ -2,7 +2,7 @@
 
 The model is a word trigram model with hierarchical Dirichlet smoothing (MacKay and Peto): for a history h with the
 shorter history h', p(w|h) = (c(hw) + mu p(w|h')) / (c(h) + mu). N-grams that occur `prune` times at
-least in the corpus are kept. As an automaton: histories are states; state h has an arc for each kept hw, weighing log p(w|h),
+least in the corpus are kept; that is all of them by default, as the mass of pruned ones would be lost. As an automaton: histories are states; state h has an arc for each kept hw, weighing log p(w|h),
 and a failure arc to h', weighing log mu / (c(h) + mu). A text is read once, from left to right: at each word the state takes its
 arc for the word, or else failure arcs until one is found (at the empty history an unknown word costs the uniform share of
 ``UNKNOWN`` words); weights add up, and the next state is the longest kept suffix of what has been read.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import kernel
 from .cluster import table
 
-ORDER, PRUNE, BLOCK, BUCKETS, UNKNOWN = 3, 2, 6_000_000, 1 << 16, 1 << 20
+ORDER, PRUNE, BLOCK, BUCKETS, UNKNOWN = 3, 1, 6_000_000, 1 << 16, 1 << 20
 MU = (1000.0, 500.0, 50.0)  # of the empty history, one word, two words
 
 

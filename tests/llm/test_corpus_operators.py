@@ -301,6 +301,21 @@ def test_probabilities_sum_to_one():
         assert 0.97 < p[k : k + 4].sum() + (lm.UNKNOWN - 4) * p[k + 4] < 1 + 1e-9
 
 
+def test_answered_counts_sum_to_one():
+    """As a bucket answers them by default, from a history of which each continuation occurs once."""
+    after = [f"x{i}" for i in range(40)]
+    text, vocabulary = [f"q r {x}" for x in after], ["q", "r", *after]
+    hashes, _, _ = lm.read(pa.array([f"q r {x}" for x in (*vocabulary, "unknown")]))
+    key, n = lm.known(lm.read(pa.array(text))[0])
+    asked, none = lm.known(hashes)
+    t = pa.table({"bucket": [0, 0], "block": [0, 1], "keys": [lm.planes(key), lm.planes(asked)], "counts": [lm.planes(n), lm.planes(np.zeros_like(none))], "words": [3 * len(text), 0]})
+    answer = lm.unplanes(lm._answer(lm.PRUNE)(t).column("totals")[1].as_py(), np.uint64)
+    counts = dict(zip(asked.tolist(), answer.tolist()))
+    totals = [np.array([float(counts.get(int(x), 0)) for x in h]) for h in hashes]
+    p = np.exp(lm.traverse(hashes, totals, 3 * len(text)))[2::3]
+    assert 0.99 < p[:-1].sum() + (lm.UNKNOWN - len(vocabulary)) * p[-1] < 1 + 1e-9
+
+
 def test_pipeline_stages_take_effect(spark):
     out = corpus_pipeline.run(spark, MEDIUM)
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
