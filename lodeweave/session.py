@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,19 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder: lineage ends here and survives lost executors."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows as a Parquet table in the shared folder: like `cut`, compressed, by columns, for what is read several times."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
