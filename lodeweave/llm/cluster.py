@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..session import cut, shared
+from ..session import cut, folder, shared, written
 from ..sources.files import table
 
-__all__ = ["cut", "shared", "table"]
+__all__ = ["cut", "folder", "shared", "table", "written"]

@@ -148,20 +148,90 @@ def test_repeated_spans_equal_sql(spark, oracle):
     same(sentences.op8_sentence_spans(spark, SMALL), oracle, entries.ORACLE_SQL["op8_sentence_spans"])
 
 
+def spans_by_definition(docs, least):
+    """What stays of each text, sentence by sentence, from the definition: no regular expression of the operator's."""
+
+    def cut(t):
+        out, i = [], 0
+        while i < len(t):
+            k = i
+            while k < len(t) and t[k] not in ".!?。！？\n":
+                k += 1
+            while k < len(t) and t[k] in ".!?。！？\n":
+                k += 1
+            while k < len(t) and (k > i and t[k - 1] in ".!?。！？\n \t\r\f") and t[k] in " \t\r\n\f":
+                k += 1
+            out.append(t[i:k])
+            i = k
+        return out
+
+    def plain(s):
+        for c in ".!?。！？\n\t\r\f":
+            s = s.replace(c, " ")
+        return tuple("".join(f" {c} " if "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "가" <= c <= "힣" else c for c in s.lower()).split(" ")) if s else ()
+
+    first, gone = {}, defaultdict(set)
+    for i, t in sorted(docs):
+        u = [tuple(w for w in plain(s) if w) for s in cut(t)]
+        for k in range(len(u)):
+            n = k
+            while n < len(u) and sum(map(len, u[k:n])) < least:
+                n += 1
+            if u[k] and sum(map(len, u[k:n])) >= least and first.setdefault(tuple(u[k:n]), (i, k)) != (i, k):
+                gone[i] |= set(range(k, n))
+    return {i: ("".join(s for k, s in enumerate(cut(t)) if k not in gone[i]), len(gone[i])) for i, t in docs if i in gone}
+
+
 def test_repeated_spans_equal_brute_force(spark):
     rng = random.Random(9)
     shared = prose(rng, 64)
     docs = [(3, prose(rng, 30) + ". " + shared + " " + prose(rng, 20)), (1, shared.upper() + "\n" + prose(rng, 40)), (2, prose(rng, 90)), (4, shared + " " + shared), (5, "A. B. C. D."), (6, "A. B. C. D.")]
-    seen, gone = {}, defaultdict(set)
-    cut = {i: re.findall(sentences.SENTENCE, t) for i, t in docs}
-    plain = {i: [re.sub(sentences.GAP, " ", s.lower()).strip(" ") for s in u] for i, u in cut.items()}
-    for i in sorted(cut):
-        for k in range(len(cut[i]) - sentences.RUN + 1):
-            run = "\n".join(plain[i][k : k + sentences.RUN])
-            if len(run) >= sentences.LEAST and seen.setdefault(run, (i, k)) != (i, k):
-                gone[i] |= set(range(k, k + sentences.RUN))
+    docs += [(7, "一二三四五。六七八九十！" * 2), (8, "x. 一二三四五。六七八九十！ 一二三四五。六七八九十！y"), (9, "...\n" + shared[:200]), (10, "word " * 30 + "end. And so on."), (11, "before. " + "word " * 30 + "end! after"), (12, "Go on. " * 40)]
     got = {r.doc_id: (r.text, r.n_removed) for r in sentences.cleaned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert set(gone) == {3, 4} and got == {i: ("".join(s for k, s in enumerate(cut[i]) if k not in g), len(g)) for i, g in gone.items()}
+    assert got == spans_by_definition(docs, sentences.WORDS) and set(got) == {3, 4, 8, 9, 11, 12}
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c d", "e f g", ". ", "! ", "\n", " ", "日", "。"]), max_size=30).map("".join), min_size=1, max_size=8))
+def test_repeated_spans_of_any_text(spark, texts):
+    docs = list(enumerate(texts))
+    got = {r.doc_id: (r.text, r.n_removed) for r in sentences.cleaned(spark.createDataFrame(docs, "doc_id long, text string"), 4).collect()}
+    assert got == spans_by_definition(docs, 4)
+
+
+def test_planted_passages_are_caught_and_the_rest_is_left(spark):
+    """Passages of 51 to 90 words, cut anywhere and put in the middle of sentences."""
+    rng = random.Random(3)
+    docs = {i: words(prose(rng, 300)) for i in range(400)}
+
+    def punctuated(w):
+        out, k = [], 0
+        while k < len(w):
+            n = rng.randrange(2, 22)
+            out.append(" ".join(w[k : k + n]) + rng.choice([". ", "! ", ".\n"]))
+            k += n
+        return "".join(out)
+
+    texts, source = {i: punctuated(w) for i, w in docs.items()}, [punctuated(words(prose(rng, 120))).split(" ") for _ in range(20)]
+    holders = {}
+    for n, i in enumerate(range(0, 400, 2)):
+        p = source[n % 20]
+        a, size = 10 + n % 20, 51 + 2 * (n % 20)
+        t = texts[i].split(" ")
+        k = rng.randrange(len(t))
+        texts[i] = " ".join([*t[:k], *p[a : a + size], *t[k:]])
+        holders.setdefault(n % 20, []).append(i)
+    got = {r.doc_id for r in sentences.cleaned(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    planted = {i for h in holders.values() for i in sorted(h)[1:]}
+    assert len(got & planted) >= 0.95 * len(planted) and not got - planted
+
+
+def test_a_passage_that_every_document_has(spark):
+    rng = random.Random(8)
+    line = "This line is a notice that all of them carry, word by word, whatever else they say. It has two sentences. "
+    docs = [(i, prose(rng, 20) + ". " + line) for i in range(3000)]
+    got = sentences.cleaned(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == 2999 and all(r.first_ids == [0] for r in got)
 
 
 def edit_distance_in(item, text):

@@ -42,7 +42,7 @@ def test_odd_rows(name, odd, labels, benchmark):
         assert sorted(map(tuple, got)) == [(9, 6, 2)]
     if name == "sentences":
         by = {r.doc_id: r for r in got}
-        assert set(by) == {None, 9} or set(by) == {None, 9, 7}
+        assert set(by) == {None, 9}
         assert by[9].first_ids == [6] and len(by[9].text) < 40
     if name == "packing":
         segments = [s for r in got for s in r.segments]
