@@ -17,7 +17,7 @@ container in the page. A null page_id or url is carried. Repeated rows are extra
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -28,7 +28,7 @@ from . import kernel
 from .cluster import table
 
 SHORTEST, LEVELS, SHARE = 25, 5, 0.2
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|$)|(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
+_STOP, _MARK, _CLOSE = re.compile(r"[\s/>]"), re.compile(r"[>\"']"), re.compile(">")
 _NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _GOOD = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.I)
 _BAD = re.compile(r"comment|combx|contact|foot|footer|masthead|media|meta|outbrain|promo|related|scroll|shoutbox|sidebar|sponsor|shopping|tags|tool|widget|\bads?\b|advert|banner|breadcrumb|cookie|menu|nav|pager|popup|share|social", re.I)
@@ -37,7 +37,8 @@ _RAW = frozenset("script style noscript template iframe svg math textarea title
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _ENDS_P = _BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li"}
-_ENDS = {"li": ("li", {"ul", "ol"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "tr": ("tr", {"table"}), "option": ("option", {"select"})}
+_ENDS = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)), "option": (("option",), ("select",))}
+_CELLS, _WHOLE = ("td", "th", "table"), frozenset("td th tr table tbody body html".split())  # an end tag inside a cell ends nothing outside of it, but for these
 _DROP = frozenset("nav footer aside form button head".split())
 _PARAGRAPHS = frozenset("p pre td blockquote".split())
 _HOLDERS = frozenset("div article section main body li dd".split())
@@ -53,54 +54,93 @@ class Node:
         self.points, self.candidate = 0.0, False
 
 
+class Tags:
+    """The ends of a page's tags, in time linear in its length however it is broken: what was looked for is remembered."""
+
+    def __init__(self, html: str):
+        self.html, self.near, self.ends = html, {}, {}
+
+    def next(self, pattern: re.Pattern, at: int) -> int:
+        """Where the pattern is found next, -1 if nowhere."""
+        lo, k = self.near.get(pattern, (0, -2))
+        if k == -2 or at < lo or -1 < k < at:
+            m = pattern.search(self.html, at)
+            lo, k = self.near[pattern] = at, m.start() if m else -1
+        return k
+
+    def end(self, at: int) -> int:
+        """The '>' of the tag whose attributes begin at `at`, beyond any in quotes; -1 if it has none."""
+        html, passed, k = self.html, [], self.next(_MARK, at)
+        while k >= 0 and html[k] != ">":
+            if k in self.ends:
+                k = self.ends[k]
+                break
+            passed.append(k)
+            close = html.find(html[k], k + 1)
+            m = _MARK.search(html, close + 1) if close >= 0 else None
+            k = m.start() if m else -1
+        for q in passed:
+            self.ends[q] = k
+        return k
+
+
 def parse(html: str) -> tuple[list[Node], str | None]:
-    """Nodes, each after its parent (the first is the root), and the title."""
+    """Nodes, each after its parent (the first is the root), and the title, in time linear in the page's length."""
     root = Node("#root", None)
-    nodes, stack, title, at = [root], [root], None, 0
+    nodes, stack, title, at, look, tags = [root], [root], None, 0, 0, Tags(html)
+    places: dict[str, list[int]] = {}  # of the open tags of each name in the stack
 
     def add(text: str) -> None:
         if text:
             stack[-1].children.append(unescape(text) if "&" in text else text)
 
-    def close(tags: str, limits: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags.split():
-                del stack[i:]
-                return
-            if stack[i].tag in limits:
-                return
-
-    while m := _TAG.search(html, at):
-        add(html[at : m.start()])
-        at = m.end()
-        if not m["tag"]:
+    def last(names: Iterable[str]) -> int:
+        return max((p[-1] for n in names if (p := places.get(n))), default=0)
+
+    def close(names: Iterable[str], limits: Iterable[str]) -> None:
+        if (k := last(names)) > last(limits):
+            for node in stack[k:]:
+                places[node.tag].pop()
+            del stack[k:]
+
+    while (i := html.find("<", look)) >= 0:
+        look, c = i + 1, html[i + 1 : i + 2]
+        if html.startswith("<!--", i):
+            add(html[at:i])
+            k = html.find("-->", i + 4)
+            at = look = k + 3 if k >= 0 else len(html)
+            continue
+        if c in ("!", "?"):
+            if (k := tags.next(_CLOSE, i)) >= 0:
+                add(html[at:i])
+                at = look = k + 1
+            continue
+        begin = i + 1 + (c == "/")
+        if not (html[begin : begin + 1].isascii() and html[begin : begin + 1].isalpha()) or tags.next(_CLOSE, begin) < 0 or (stop := tags.next(_STOP, begin)) < 0 or (end := tags.end(stop)) < 0:
             continue
-        tag = m["tag"].lower()
-        if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "table", "tbody", "body", "html"):
-                    break
+        add(html[at:i])
+        at = look = end + 1
+        tag, attrs = html[begin:stop].lower(), html[stop:end]
+        if c == "/":
+            close((tag,), () if tag in _WHOLE else _CELLS)
             continue
         if tag in _RAW:
-            if m["attrs"].endswith("/") and tag in ("svg", "math"):
+            if attrs.endswith("/") and tag in ("svg", "math"):
                 continue
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            over = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             if tag == "title" and title is None:
-                title = " ".join(unescape(html[at : end.start() if end else len(html)]).split())
-            at = end.end() if end else len(html)
+                title = " ".join(unescape(html[at : over.start() if over else len(html)]).split())
+            at = look = over.end() if over else len(html)
             continue
         if tag in _ENDS_P:
-            close("p", {"table", "td", "th", "button"})
+            close(("p",), ("table", "td", "th", "button"))
         elif tag in _ENDS:
             close(*_ENDS[tag])
-        attrs = m["attrs"]
         node = Node(tag, stack[-1], " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)) if attrs else "")
         stack[-1].children.append(node)
         nodes.append(node)
         if tag not in _VOID:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     add(html[at:])
     return nodes, title
