@@ -32,13 +32,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
 from .cluster import table
 
-LARGEST, SHORTEST = 64 << 20, 16
+LARGEST, SHORTEST = 64 << 20, 15  # base64 of fewer characters holds fewer bytes than any finding has
 OVERSIZE = "oversize layer"
 RULES = (
     ("aws access key", re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA|AGPA|AROA|AIDA)[A-Z2-7][A-Z0-9]{15}(?![A-Z0-9])")),
@@ -47,14 +48,14 @@ RULES = (
     ("google api key", re.compile(r"AIza[A-Za-z0-9_-]{35}")),
     ("stripe key", re.compile(r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}")),
     ("private key", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
-    ("json web token", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("json web token", re.compile(r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)")),
     ("password in url", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{3,64})@")),
     ("assigned secret", re.compile(r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)[\"']?\s{0,4}(?:=>|:=|=|:)\s{0,4}[\"']?([^\s\"'<>,;]{8,})")),
 )
 _PREFILTER = (
     r"A(?:KIA|SIA|GPA|ROA|IDA)|AIza|gh[pousr]_|github_pat_|xox[abeoprs]-|[rs]k_(?:live|test)_|PRIVATE KEY|eyJ|://"
     r"|(?i:token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)[\"']?[\s\v\x1c-\x1f\x85\p{Z}]{0,4}[=:]"  # RE2, of which \s is ASCII only
-    r"|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}"
+    r"|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{15}"
 )
 _RUN = re.compile(r"[^\s\"'<>]+")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
@@ -88,10 +89,11 @@ def _member(method: str, raw: bytes, most: int) -> tuple[bytes, bytes]:
         d = zlib.decompressobj(31 if method == "gzip" else 15)
         return d.decompress(raw, most), d.unused_data
     if method == "zstd":
-        import zstandard
-
-        d = zstandard.ZstdDecompressor().decompressobj()
-        return d.decompress(raw)[:most], d.unused_data
+        d, parts, size, at = zstandard.ZstdDecompressor().decompressobj(), [], 0, 0
+        while at < len(raw) and not d.eof and size <= most:  # in small steps, as it has no bound of its own
+            parts.append(d.decompress(raw[at : at + 256]))
+            size, at = size + len(parts[-1]), at + 256
+        return b"".join(parts)[:most], d.unused_data + raw[at:]
     d = bz2.BZ2Decompressor() if method == "bzip2" else lzma.LZMADecompressor()
     return d.decompress(raw, most), d.unused_data
 
@@ -177,13 +179,20 @@ def _percent(part: str, a: int) -> Iterator[tuple[str, str | None, list[tuple[in
 
 
 def _escapes(part: str, a: int) -> Iterator[tuple[str, str | None, list[tuple[int, int]] | None]]:
-    text, from_, i = [], [], 0
+    text, from_, i, before = [], [], 0, 0
     for m in _ONE_ESCAPE.finditer(part):
         text += part[i : m.start()]
         from_ += [(a + k, a + k + 1) for k in range(i, m.start())]
         code = int(next(g for g in m.groups() if g), 16)
-        text.append(chr(code) if code < 0x110000 and not 0xDC00 <= code < 0xE000 and not 0xD800 <= code < 0xDC00 else "\ufffd")
-        from_.append((a + m.start(), a + m.end()))
+        if 0xDC00 <= code < 0xE000 and m.start() == i and 0xD800 <= before < 0xDC00:  # the second half of a pair
+            code = 0x10000 + ((before - 0xD800) << 10) + (code - 0xDC00)
+            text.pop()
+            start = from_.pop()[0]
+        else:
+            start = a + m.start()
+        before = code
+        text.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd")
+        from_.append((start, a + m.end()))
         i = m.end()
     text += part[i:]
     from_ += [(a + k, a + k + 1) for k in range(i, len(part))]
