@@ -47,8 +47,8 @@ _NATIONAL = rf"0[1-9](?:[{_BLANK}.\-/]\d{{2}}){{4}}|(?:\(0[1-9]\d{{0,4}}\)|0[1-9
 _GROUPED = re.compile(rf"(?<![A-Za-z0-9]){_GROUPED_IBAN}(?![A-Za-z0-9])|(?<![\w+]){_AMEX}(?!\d)|(?<![\w+.,/(-])(?:{_INTERNATIONAL}|{_NATIONAL})(?![\w])")
 _RUN = re.compile(rf"(?<![A-Za-z0-9])[+(]{{0,2}}\d[\d().+/{_BLANK}-]{{5,}}\d(?![A-Za-z])")
 _CANDIDATE = re.compile(
-    r"[\w.%+'-]{1,64}@[\w-]+(?:\.[\w-]+)*|(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])|\d{1,3}(?:\.\d{1,3}){3}(?![\d])"
-    r"|\d{4}(?:[ -]\d{4}){3}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![A-Za-z0-9])(?:\+?\d[\d.\-/]{5,40}\d|\d{7,})(?![A-Za-z])"
+    r"(?<![\w.%+'-])[\w.%+'-]++@[\w-]+(?:\.[\w-]+)*|(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])|\d{1,3}(?:\.\d{1,3}){3}(?![\d])"
+    r"|\d{4}(?:[ -]\d{4}){3}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![A-Za-z0-9])(?:\+?\d[\d.\-/]{5,}\d|\d{7,})(?![A-Za-z])"
 )
 _FORMATS = (
     (EMAIL, re.compile(r"[\w.%+'-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")), (IP, re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}")),
@@ -61,7 +61,13 @@ _CONTEXT = tuple((k, re.compile(rf"(?i)\b(?:{w})\W*(?:\w+\W+){{0,2}}$")) for k,
     (EMAIL, r"e-?mail|mail|contact|courriel|correo"), (PHONE, r"phone|tel|call|fax|mobile|cell|telefon|téléphone|teléfono"), (CARD, r"card|visa|mastercard|amex|credit|karte|carte|tarjeta"),
     (IP, r"ip|host|server|address|login from"), (SSN, r"ssn|social security"), (IBAN, r"iban|account|konto|compte|cuenta"), (NONE, r"version|isbn|issn|doi|page|fig|figure|chapter|section|sha|hash|id|order|price|release"),
 ))
-_DOMAINS = frozenset("com net org edu gov info io de fr es uk us eu ch at it nl".split())
+#: The generic top-level domains in wide use and the country codes; of others the gazetteer says nothing.
+_DOMAINS = frozenset(
+    "com net org edu gov mil int info biz name pro aero coop museum jobs mobi travel cat tel asia post xxx app dev page blog shop store online site tech cloud xyz club live news email world company agency digital design media group center academy"
+    " ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi"
+    " gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni"
+    " nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
 _CALLING = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})(?!\d{9,}$)")
 _ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6(?:011|5)|35|36|30")
 
@@ -101,7 +107,8 @@ def votes(value: str, left: str, right: str) -> tuple[int, ...]:
         check = IP if all(int(x or 999) < 256 for x in value.split(".")) else NONE
     gazetteer = ABSTAIN
     if shape == EMAIL:
-        gazetteer = EMAIL if value.rpartition(".")[2].lower() in _DOMAINS else NONE
+        top = value.rpartition("@")[2].rpartition(".")
+        gazetteer = EMAIL if top[1] and top[2].lower() in _DOMAINS else ABSTAIN if top[1] and len(top[2]) > 1 and top[2].isalpha() else NONE
     elif value[0] == "+":
         gazetteer = PHONE if _CALLING.match(value) else NONE
     elif shape == CARD:
@@ -219,6 +226,7 @@ _EXAMPLES = (
     "0171-2345678", "0049 30 1234567", "0033 6 12 34 56 78", "+44 20 7946 0958", "+44 (0)20 7946 0958", "020 7946 0958", "+34 612 345 678", "555-123-4567", "(555) 123-4567", "+1 555-123-4567", "555.123.4567",
     "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "NL91 ABNA 0417 1643 00", "NO93 8601 1117 947", "DE89370400440532013000", "GB82WEST12345698765432",
     "3782 822463 10005", "378282246310005", "4111 1111 1111 1111", "4111-1111-1111-1111", "10 20 30 40 50 60", "2019 2020 2021", "1 000 000", "12 500 000", "100 200 300", "1 2 3 4 5 6 7 8", "10 20 30 40 50 60 70", "10 20 30 40 50 60 70 80", "100 200 300 400 500", "1000 2000 3000 4000 5000", "2024-01-31", "31/12/2024", "31.12.2024", "2024-01-31 12 30",
+    "ann@example.com", "ann.lee@example.com", "ann.lee@mail.example.org", "info@example.co.uk", "a_b+c@sub.example.de", "x-1@example.fr", "7a@example.net", "first.middle.last@dept.mail.example.edu",
     "3.14159265", "0.12345678", "12345678", "1999-2004", "12.5 13.5 14.5", "5 10 15 20",
 )
 
