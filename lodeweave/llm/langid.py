@@ -7,8 +7,9 @@ its words, which pieces never cross. The language that gives a text the highest
 Piece probabilities are trained by expectation-maximisation (forward-backward over the same lattice) on
 a sample of the documents with a language label, about ``sample`` of them for each label, taken by a hash of
 doc_id and smoothed towards the pieces of all languages; this bound is the only one. Every document is scored, whole.
-Words are evaluated once for each distinct word of a batch. Words of more than ``LONGEST`` characters
-are cut into parts of that length. Scoring is map-only; the model (pieces by languages) is fixed in size.
+A word is evaluated once as long as a worker remembers it. Words of any length are summed over whole; those of more than ``LONGEST``
+characters one by one, with the sums scaled at each character. Training leaves words of more than ``LONGEST`` characters out.
+Scoring is map-only; the model (pieces by languages) is fixed in size. The vocabulary is a file that every executor has.
 
 Defined results: a null or empty text, or one without words, has a null language and margin; so has
 every text when no row has a label. Ties go to the first language in alphabetical order. A null doc_id or label is carried as null;
@@ -30,29 +31,36 @@ from . import kernel
 from .cluster import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLE, ROUNDS, PIECE, LONGEST, SMOOTH = 1000, 4, 12, 24, 0.05
+SAMPLE, ROUNDS, LONGEST, SMOOTH, REMEMBERED = 1000, 4, 64, 0.05, 400_000
 _MARK = 0x2581  # begins a word in the vocabulary
 
 
 @cache
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the pieces, in lower case, and the number of each (0 is for a character that is no piece)."""
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of the pieces, in lower case, the number of each (0 is for a character that is no piece), and the length of the longest."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    known = {p for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and 0 < len(p := sp.id_to_piece(i).lower()) <= PIECE}
+    known = {p for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and (p := sp.id_to_piece(i).lower())}
     pieces = sorted(p for p in known if p.lstrip("▁") or p == "▁")
     cp, at = kernel.code_points(pa.array(pieces, pa.large_string()))
     h = kernel.span_hash(kernel.tables()[2][cp], at[:-1], at[1:])
     order = np.argsort(h)
-    return h[order], order.astype(np.int32) + 1
+    return h[order], order.astype(np.int32) + 1, max(map(len, pieces))
+
+
+def piece_numbers(h: np.ndarray, m: int, path: str) -> np.ndarray:
+    """Of spans of m characters, by hash: the number of the piece, -1 where there is none."""
+    known, number, _ = vocabulary(path)
+    i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[i] == h, number[i], 0 if m == 1 else -1)
 
 
 class Lattice:
     """Pieces of many words: number of the piece that ends at e and has m characters, or -1. Words are sorted by length, longest first."""
 
     def __init__(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray, path: str):
-        known, number = vocabulary(path)
+        most = vocabulary(path)[2]
         self.size = end - start + 1  # with the mark
         self.order = np.argsort(-self.size, kind="stable")
         self.size, start = self.size[self.order], start[self.order]
@@ -69,10 +77,9 @@ class Lattice:
         self.at: dict[tuple[int, int], np.ndarray] = {}
         for e in range(1, longest + 1):
             k = self.fit[e]
-            for m in range(1, min(e, PIECE) + 1):
+            for m in range(1, min(e, most) + 1):
                 h = kernel.mix((total[:k, e] - total[:k, e - m]) * down[e - m] + np.uint64(m))
-                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                p = np.where(known[i] == h, number[i], 0 if m == 1 else -1)
+                p = piece_numbers(h, m, path)
                 if m == 1 or (p >= 0).any():
                     self.at[e, m] = p
 
@@ -107,41 +114,65 @@ class Lattice:
         return out
 
 
-def parts(w: kernel.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of the words, long ones in parts."""
-    n = -(-(w.end - w.start) // LONGEST)
-    if not len(n) or n.max() == 1:
-        return w.start, w.end, w.row
-    k = np.repeat(np.arange(len(n)), n)
-    start = w.start[k] + LONGEST * (np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n))
-    return start, np.minimum(start + LONGEST, w.end[k]), w.row[k]
-
-
-def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of one of each word, and for every word which of these it is."""
-    h = kernel.span_hash(kernel.tables()[2][cp], start, end)
-    _, first, back = np.unique(h, return_index=True, return_inverse=True)
-    return first, back
+def long_word(cp: np.ndarray, theta: np.ndarray, path: str) -> np.ndarray:
+    """Log probability of one word by language; memory for the last characters only, sums scaled as they go."""
+    chars = np.r_[np.int64(_MARK), cp.astype(np.int64)]
+    n, most = len(chars), vocabulary(path)[2]
+    value = kernel.tables()[2][chars]
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    for m in range(1, min(n, most) + 1):
+        at = np.arange(n - m + 1)
+        p = piece_numbers(kernel.span_hash(value, at, at + m), m, path)
+        ok = p >= 0
+        ends.append((at[ok] + m, p[ok]))
+    end, size, piece = np.concatenate([e for e, _ in ends]), np.repeat(np.arange(1, len(ends) + 1), [len(e) for e, _ in ends]), np.concatenate([p for _, p in ends])
+    order = np.argsort(end, kind="stable")
+    size, weight, cut = size[order], theta[piece[order]], np.searchsorted(end[order], np.arange(1, n + 2))
+    window, log = np.zeros((most, theta.shape[1])), np.zeros(theta.shape[1])  # window[(e - 1) % most]: sums up to e - 1
+    window[0] = 1
+    for e in range(1, n + 1):
+        a, b = cut[e - 1], cut[e]
+        now = (window[(e - size[a:b]) % most] * weight[a:b]).sum(axis=0)
+        log += np.log(now)
+        window /= now
+        window[e % most] = 1
+    return log
 
 
 class Model:
     def __init__(self, languages: list[str], theta: np.ndarray, path: str):
-        self.languages, self.theta, self.path = languages, theta, path
+        self.languages, self.theta, self.path, self.known = languages, theta, path, {}
+
+    def words(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Log probability of words by language."""
+        out, size = np.empty((len(start), len(self.languages))), end - start
+        short = np.flatnonzero(size <= LONGEST)
+        for k in range(0, len(short), 8192):
+            some = short[k : k + 8192]
+            out[some] = Lattice(cp, start[some], end[some], self.path).log_probability(self.theta)
+        for i in np.flatnonzero(size > LONGEST):
+            out[i] = long_word(cp[start[i] : end[i]], self.theta, self.path)
+        return out
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Number of word parts, and log probability by language, of each text."""
+        """Number of words, and log probability by language, of each text."""
         n, logs = np.zeros(len(col), np.int64), np.zeros((len(col), len(self.languages)))
         for lo, hi, cp, at in kernel.chunks(col, 4 * kernel.CHUNK):
-            start, end, row = parts(kernel.words(cp, at))
-            if not len(start):
+            w = kernel.words(cp, at)
+            if not len(w.start):
                 continue
-            first, back = distinct(cp, start, end)
-            each = np.empty((len(first), len(self.languages)))
-            for k in range(0, len(first), 8192):
-                each[k : k + 8192] = Lattice(cp, start[first[k : k + 8192]], end[first[k : k + 8192]], self.path).log_probability(self.theta)
-            n[lo:hi] = np.bincount(row, minlength=hi - lo)
+            h, first, back = np.unique(kernel.span_hash(kernel.tables()[2][cp], w.start, w.end), return_index=True, return_inverse=True)
+            if len(self.known) > REMEMBERED:
+                self.known = {}
+            got = list(map(self.known.get, h.tolist()))
+            new = np.array([i for i, x in enumerate(got) if x is None], np.int64)
+            if len(new):
+                for i, x in zip(new.tolist(), self.words(cp, w.start[first[new]], w.end[first[new]]).tolist()):
+                    got[i] = self.known[int(h[i])] = x
+            each = np.array(got)
+            n[lo:hi] = np.bincount(w.row, minlength=hi - lo)
             for j in range(logs.shape[1]):
-                logs[lo:hi, j] = np.bincount(row, each[back, j], hi - lo)
+                logs[lo:hi, j] = np.bincount(w.row, each[back, j], hi - lo)
         return n, logs
 
 
@@ -179,9 +210,9 @@ def word_counts(docs: DataFrame, sample: int = SAMPLE) -> dict[str, dict[str, in
         for b in batches:
             langs, found = b.column(0).to_pylist(), Counter()
             for lo, _, cp, at in kernel.chunks(b.column(1)):
-                start, end, row = parts(kernel.words(cp, at))
+                w = kernel.words(cp, at)
                 text = kernel.tables()[1][cp].tobytes().decode("utf-32-le")
-                found.update((langs[lo + r], text[s:e]) for s, e, r in zip(start.tolist(), end.tolist(), row.tolist()))
+                found.update((langs[lo + r], text[s:e]) for s, e, r in zip(w.start.tolist(), w.end.tolist(), w.row.tolist()) if e - s <= LONGEST)
             if found:
                 yield kernel.out({"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())}, schema)
 
