@@ -227,7 +227,7 @@ _EXAMPLES = (
     "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "NL91 ABNA 0417 1643 00", "NO93 8601 1117 947", "DE89370400440532013000", "GB82WEST12345698765432",
     "3782 822463 10005", "378282246310005", "4111 1111 1111 1111", "4111-1111-1111-1111", "10 20 30 40 50 60", "2019 2020 2021", "1 000 000", "12 500 000", "100 200 300", "1 2 3 4 5 6 7 8", "10 20 30 40 50 60 70", "10 20 30 40 50 60 70 80", "100 200 300 400 500", "1000 2000 3000 4000 5000", "2024-01-31", "31/12/2024", "31.12.2024", "2024-01-31 12 30",
     "ann@example.com", "ann.lee@example.com", "ann.lee@mail.example.org", "info@example.co.uk", "a_b+c@sub.example.de", "x-1@example.fr", "7a@example.net", "first.middle.last@dept.mail.example.edu",
-    "3.14159265", "0.12345678", "12345678", "1999-2004", "12.5 13.5 14.5", "5 10 15 20",
+    "12-34-56-78-90-12-34-56-78-90-12-34-56", "12.34.56.78.90.12.34.56.78.90.12.34.56", "12/34/56/78/90/12/34/56/78/90/12/34/56", "123456789012345678901234567890123456", "3.14159265", "0.12345678", "12345678", "1999-2004", "12.5 13.5 14.5", "5 10 15 20",
 )
 
 
