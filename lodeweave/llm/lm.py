@@ -12,12 +12,13 @@ The model grows with the corpus and is never in one place. Documents are hashed
 ``BLOCK`` bytes. A block sends its distinct n-grams with their counts to buckets by hash; buckets add up the counts of all
 blocks and answer each block with the corpus counts of its own n-grams, in its own order. So each block gets exactly the
 states and arcs that its texts can visit. Only hashes, counts and each text (once) are shuffled; executors hold one block or bucket at a time.
-Bucket rows hold the keys by byte planes, which the shuffle's compression shrinks.
+Bucket rows hold the differences of their sorted keys, by byte planes, compressed.
 With n blocks there are up to n * min(2 n, BUCKETS) such rows; that is small beside the data until the corpus has some 100,000 blocks (more BLOCK then).
 
 Defined results: a null, empty or wordless text has 0 words and a null log probability and perplexity. A null doc_id
 is carried. Repeated rows count and are scored each. N-grams don't cross documents.
-An n-gram's key is a hash of as many bits as the corpus needs: two n-grams share one, and so their counts, with a probability of about 2**-18 for each.
+An n-gram's key is a hash of 64 bits, whatever the size of the corpus: of N different n-grams, one shares its key, and so its count, with a probability of N / 2**64.
+States and arcs are implicit: an array of counts for each order, by place, stands for those that the texts of a block visit.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,21 +48,25 @@ def trim() -> None:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Integers by byte planes."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+    """Integers by byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
 
 
 def unplanes(raw: bytes, dtype: type) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def key_bits(size: int) -> int:
-    """Of the keys of a corpus of so many bytes, which bound its n-grams of an order by a fifth or so."""
-    return min(64, -(-(size.bit_length() + 18) // 8) * 8)
+def key_planes(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def read(col: pa.Array, bits: int = 64) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def unkey(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
+
+
+def read(col: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Keys of the 1-, 2- and 3-grams that end at each word (0 where they would cross the start of a text), and the words' rows and number by row."""
     hashes, rows, sizes = [[] for _ in range(ORDER)], [], []
     for lo, hi, cp, at in kernel.chunks(col):
@@ -68,7 +74,7 @@ def read(col: pa.Array, bits: int = 64) -> tuple[list[np.ndarray], np.ndarray, n
         for n in range(1, ORDER + 1):
             h = np.zeros(len(w.hash), np.uint64)
             g, first = w.ngrams(n)
-            h[first + (n - 1)] = kernel.mix(g + np.uint64(n)) >> np.uint64(64 - bits) | np.uint64(1)
+            h[first + (n - 1)] = np.maximum(kernel.mix(g + np.uint64(n)), np.uint64(1))
             hashes[n - 1].append(h)
         rows.append(w.row + lo)
         sizes.append(np.diff(w.first))
@@ -76,9 +82,9 @@ def read(col: pa.Array, bits: int = 64) -> tuple[list[np.ndarray], np.ndarray, n
     return [join(h, np.uint64) for h in hashes], join(rows, np.int64), join(sizes, np.int64)
 
 
-def bucket_of(key: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets in the order of keys."""
-    return ((key >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
 def known(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,18 +95,18 @@ def known(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return key[order], n[order]
 
 
-def _ask(buckets: int, bits: int):
+def _ask(buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
         trim()
         block = t.column("block")[0].as_py()
-        hashes, rows, _ = read(t.column("text").combine_chunks(), bits)
+        hashes, rows, _ = read(t.column("text").combine_chunks())
         key, n = known(hashes)
-        at = np.searchsorted(bucket_of(key, buckets, bits), np.arange(buckets + 1))
+        at = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
         use = [b for b in range(buckets) if b == 0 or at[b + 1] > at[b]]  # the first bucket also adds up the words
         return pa.table(
-            {"bucket": use, "block": [block] * len(use), "keys": [planes(key[at[b] : at[b + 1]]) for b in use], "counts": [planes(n[at[b] : at[b + 1]]) for b in use], "words": [len(rows) if b == 0 else 0 for b in use]}, schema
+            {"bucket": use, "block": [block] * len(use), "keys": [key_planes(key[at[b] : at[b + 1]]) for b in use], "counts": [planes(n[at[b] : at[b + 1]]) for b in use], "words": [len(rows) if b == 0 else 0 for b in use]}, schema
         )
 
     return run
@@ -112,7 +118,7 @@ def _answer(prune: int):
     def run(t: pa.Table) -> pa.Table:
         trim()
         keys, counts = (pa.chunked_array(t.column(c).chunks) for c in ("keys", "counts"))
-        parts = [unplanes(k.as_py(), np.uint64) for k in keys]
+        parts = [unkey(k.as_py()) for k in keys]
         _, back = np.unique(np.concatenate(parts), return_inverse=True)
         n = np.concatenate([unplanes(c.as_py(), np.uint32) for c in counts])
         totals = np.bincount(back, n)[back] if len(n) else np.zeros(0)
@@ -152,14 +158,14 @@ def _fall(arc: list[np.ndarray], history: list[np.ndarray], totals: list[np.ndar
     return cost
 
 
-def _score(bits: int):
+def _score():
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_probability", pa.float64()), ("perplexity", pa.float64())])
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
         trim()
-        hashes, rows, size = read(docs.column("text").combine_chunks(), bits)
+        hashes, rows, size = read(docs.column("text").combine_chunks())
         order = np.argsort(answers.column("bucket").to_numpy())
         raw = answers.column("totals")
         total = np.concatenate([unplanes(raw[int(i)].as_py(), np.uint64) for i in order]).astype(float)
@@ -182,12 +188,12 @@ def score(docs: DataFrame, block: int = BLOCK, prune: int = PRUNE) -> DataFrame:
     """doc_id, n_words, log_probability, perplexity (by word): a row for each row of docs."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // block) + 1
-    buckets, bits = min(2 * blocks, BUCKETS), key_bits(int(total))
+    buckets = min(2 * blocks, BUCKETS)
     where = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     parted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", where.alias("block"))
-    asked = parted.groupBy("block").applyInArrow(_ask(buckets, bits), "bucket int, block int, keys binary, counts binary, words long")
+    asked = parted.groupBy("block").applyInArrow(_ask(buckets), "bucket int, block int, keys binary, counts binary, words long")
     answered = asked.groupBy("bucket").applyInArrow(_answer(prune), "block int, bucket int, totals binary, words long")
-    return parted.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(bits), "doc_id long, n_words long, log_probability double, perplexity double")
+    return parted.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(), "doc_id long, n_words long, log_probability double, perplexity double")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -378,7 +378,7 @@ def test_answered_counts_sum_to_one():
     hashes, _, _ = lm.read(pa.array([f"q r {x}" for x in (*vocabulary, "unknown")]))
     key, n = lm.known(lm.read(pa.array(text))[0])
     asked, none = lm.known(hashes)
-    t = pa.table({"bucket": [0, 0], "block": [0, 1], "keys": [lm.planes(key), lm.planes(asked)], "counts": [lm.planes(n), lm.planes(np.zeros_like(none))], "words": [3 * len(text), 0]})
+    t = pa.table({"bucket": [0, 0], "block": [0, 1], "keys": [lm.key_planes(key), lm.key_planes(asked)], "counts": [lm.planes(n), lm.planes(np.zeros_like(none))], "words": [3 * len(text), 0]})
     answer = lm.unplanes(lm._answer(lm.PRUNE)(t).column("totals")[1].as_py(), np.uint64)
     counts = dict(zip(asked.tolist(), answer.tolist()))
     totals = [np.array([float(counts.get(int(x), 0)) for x in h]) for h in hashes]
@@ -386,6 +386,13 @@ def test_answered_counts_sum_to_one():
     assert 0.99 < p[:-1].sum() + (lm.UNKNOWN - len(vocabulary)) * p[-1] < 1 + 1e-9
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=50))
+def test_keys_come_back(keys):
+    keys = np.array(sorted(set(keys)), np.uint64)
+    assert (lm.unkey(lm.key_planes(keys)) == keys).all() and (lm.unplanes(lm.planes(keys), np.uint64) == keys).all()
+
+
 def test_pipeline_stages_take_effect(spark):
     out = corpus_pipeline.run(spark, MEDIUM)
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
