@@ -24,6 +24,7 @@ States and arcs are implicit: an array of counts for each order, by place, stand
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from . import kernel
 from .cluster import table
 
-ORDER, PRUNE, BLOCK, BUCKETS, UNKNOWN = 3, 1, 6_000_000, 1 << 16, 1 << 20
+ORDER, PRUNE, BLOCK, BUCKETS, UNKNOWN, PACKED = 3, 1, 6_000_000, 1 << 16, 1 << 20, 16 << 20
 MU = (1000.0, 500.0, 50.0)  # of the empty history, one word, two words
 
 
@@ -95,13 +96,51 @@ def known(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return key[order], n[order]
 
 
+def packed(docs: DataFrame, blocks: int) -> DataFrame:
+    """block, rows (binary): the doc_id and text of docs, those of a task that go to one block together and compressed."""
+    schema, inner = pa.schema([("block", pa.int32()), ("rows", pa.binary())]), pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def flush(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(batches)
+        order = t.column("block").combine_chunks().to_numpy().argsort(kind="stable")
+        t = t.take(pa.array(order))
+        block, cut = np.unique(t.column("block").to_numpy(), return_index=True)
+        rows = t.select(["doc_id", "text"]).cast(inner).combine_chunks()
+        out, press = [], zstandard.ZstdCompressor(level=6)
+        for a, b in zip(cut, [*cut[1:], t.num_rows]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, inner) as w:
+                w.write_table(rows.slice(a, b - a).combine_chunks())
+            out.append(press.compress(sink.getvalue()))
+        return kernel.out({"block": block, "rows": out}, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held, size = [*held, b], size + b.nbytes
+            if size > PACKED:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+
+    where = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", where).mapInArrow(run, "block int, rows binary")
+
+
+def unpacked(t: pa.Table) -> pa.Table:
+    """The documents of a block."""
+    raw = [zstandard.ZstdDecompressor().decompress(x.as_py()) for x in t.column("rows")]
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in raw]).combine_chunks()
+
+
 def _ask(buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
         trim()
         block = t.column("block")[0].as_py()
-        hashes, rows, _ = read(t.column("text").combine_chunks())
+        hashes, rows, _ = read(unpacked(t).column("text").combine_chunks())
         key, n = known(hashes)
         at = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
         use = [b for b in range(buckets) if b == 0 or at[b + 1] > at[b]]  # the first bucket also adds up the words
@@ -165,6 +204,7 @@ def _score():
         if not docs.num_rows:
             return schema.empty_table()
         trim()
+        docs = unpacked(docs)
         hashes, rows, size = read(docs.column("text").combine_chunks())
         order = np.argsort(answers.column("bucket").to_numpy())
         raw = answers.column("totals")
@@ -189,8 +229,7 @@ def score(docs: DataFrame, block: int = BLOCK, prune: int = PRUNE) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // block) + 1
     buckets = min(2 * blocks, BUCKETS)
-    where = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    parted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", where.alias("block"))
+    parted = packed(docs, blocks)
     asked = parted.groupBy("block").applyInArrow(_ask(buckets), "bucket int, block int, keys binary, counts binary, words long")
     answered = asked.groupBy("bucket").applyInArrow(_answer(prune), "block int, bucket int, totals binary, words long")
     return parted.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(), "doc_id long, n_words long, log_probability double, perplexity double")
