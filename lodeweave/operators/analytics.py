@@ -29,7 +29,8 @@ def most_connected(items: DataFrame, roles: DataFrame, people: DataFrame, item:
 
 
 def years_between(items: DataFrame, date: str, first: str, last: str) -> DataFrame:
-    return items.filter(text.year(F.col(date)).between(first, last))
+    """Items of the years first to last, both included, as a range of dates that the scan can prune by."""
+    return items.filter((F.col(date) >= F.lit(f"{int(first):04d}-01-01")) & (F.col(date) < F.lit(f"{int(last) + 1:04d}-01-01")))
 
 
 def top_people(credits: DataFrame, name: str, profit: Column, n: int = 10) -> DataFrame:
@@ -43,11 +44,10 @@ def top_people(credits: DataFrame, name: str, profit: Column, n: int = 10) -> Da
 
 def coappearances(roles: DataFrame, people: DataFrame, item: str, person: str, name: str) -> DataFrame:
     """first, second, year, n: how often two people were in one item, by year; roles have (item, person, year).
-
-    Roles are shuffled by item once: the self-join's sides are the same exchange."""
+    In the order of years, most frequent pairs first, ties by name."""
     slim = roles.select(item, person, "year")
     a, b = slim.alias("a"), slim.alias("b")
     pairs = a.join(b, (F.col(f"a.{item}") == F.col(f"b.{item}")) & (F.col(f"a.{person}") < F.col(f"b.{person}")))
     counts = pairs.groupBy(F.col(f"a.{person}").alias("p1"), F.col(f"b.{person}").alias("p2"), F.col("a.year").alias("year")).agg(F.count("*").alias("n"))
     first, second = people.select(F.col(person).alias("p1"), F.col(name).alias("first")), people.select(F.col(person).alias("p2"), F.col(name).alias("second"))
-    return counts.join(first, "p1").join(second, "p2").select("first", "second", "year", "n")
+    return counts.join(first, "p1").join(second, "p2").select("first", "second", "year", "n").orderBy("year", F.desc("n"), "first", "second")

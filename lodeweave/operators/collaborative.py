@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine
 from ..session import cut
+from .content import popular
 
 
 @dataclass(frozen=True)
@@ -22,7 +23,7 @@ class Settings:
     held_out: float = 0.1
     top_n: int = 3
     most: int = 20
-    min_rating: float = 3.0
+    min_rating: float | None = None  # estimates below it aren't recommended
     seed: int = 42
 
 
@@ -60,12 +61,15 @@ class Model:
 
     def top(self, users: DataFrame, items: DataFrame, n: int = 3) -> DataFrame:
         """user_id, item_id, estimate: the n best of all items, rated ones included; ties by item."""
-        from pyspark.sql import Window
-
         all_ = self.estimates(users.select("user_id").crossJoin(items.select("item_id")))
         w = Window.partitionBy("user_id").orderBy(F.desc("estimate"), "item_id")
         return all_.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
 
+    def error(self, ratings: DataFrame) -> DataFrame:
+        """n, rmse: of the estimates of given ratings (user_id, item_id, score), such as those held out."""
+        off = self.estimates(ratings.select("user_id", "item_id", "score")).select((F.col("estimate") - F.col("score")).alias("off"))
+        return off.agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("rmse"))
+
     def similarity(self) -> DataFrame:
         return similar(self.als.userFactors.select(F.col("id"), F.col("features").alias("vector")))
 
@@ -78,6 +82,20 @@ def fit(ratings: DataFrame, settings: Settings = Settings()) -> Model:
     return Model(als.fit(rest), train)
 
 
+def recommend(ratings: DataFrame, items: DataFrame, user_id: int, n: int | None = None, settings: Settings = Settings()) -> DataFrame:
+    """user_id, position, title: the n best of items (item_id, title, votes, revenue) for a user, `settings.most` at most, best first.
+    A user without ratings gets the popular items."""
+    n = min(n or settings.top_n, settings.most)
+    if ratings.filter((F.col("user_id") == user_id) & (F.col("score") > 0)).isEmpty():
+        best = popular(items, n)
+        return best.select(F.lit(user_id).cast("long").alias("user_id"), F.row_number().over(Window.orderBy(F.desc_nulls_last("votes"), F.desc_nulls_last("revenue"), "item_id")).alias("position"), "title")
+    user = ratings.sparkSession.range(user_id, user_id + 1).toDF("user_id")
+    best = fit(ratings, settings).top(user, items, n)
+    if settings.min_rating is not None:
+        best = best.filter(F.col("estimate") >= settings.min_rating)
+    return best.join(items.select("item_id", "title"), "item_id").select("user_id", "position", "title").orderBy("position")
+
+
 def similar(vectors: DataFrame) -> DataFrame:
     """a, b, similarity for all pairs a < b of (id, vector): the full matrix, as its upper half."""
     x, y = vectors.toDF("a", "va"), vectors.toDF("b", "vb")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_even
+from .keys import sequenced
 
 
 def vocabulary(tags: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def candidates(items: DataFrame, ratings: DataFrame, n: int = 100) -> DataFrame:
     """user_id, item_id: for each user who rated anything, the n unrated items of lowest id.
 
     They are among the first n + (rated by the user) items, so users never meet the whole catalogue."""
-    rank = items.select("item_id", F.row_number().over(Window.orderBy("item_id")).alias("rank"))  # a dimension
+    rank = sequenced(items.select("item_id"), "rank", ["item_id"], 1)
     users = ratings.groupBy("user_id").agg((F.count_distinct("item_id") + n).alias("reach"))
     first = users.select("user_id", F.explode(F.sequence(F.lit(1), F.col("reach").cast("int"))).alias("rank")).join(rank, "rank").select("user_id", "item_id")
     left = first.join(ratings.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")

@@ -9,6 +9,7 @@ from ..functions import numbers, text
 from ..operators import analytics, content, keys, quality
 from ..operators import ratings as rate
 from ..sources.files import TABLES, table
+from ..sources.files import query as query_sql
 from . import standins
 from .registry import query
 from .standins import LAST_SQL, RATINGS_SQL, TAGS_SQL
@@ -25,7 +26,8 @@ def q1_point_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_type = 'STANDARD' ORDER BY p_partkey")
 def parameterized_filter(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.lookup(table(spark, d, "part"), "p_type", "STANDARD").select("p_partkey", "p_name").orderBy("p_partkey")
+    """SQL with a named parameter; Catalyst sees a literal, so the filter reaches the scan."""
+    return query_sql(spark, "SELECT p_partkey, p_name FROM {part} WHERE p_type = :kind ORDER BY p_partkey", {"part": table(spark, d, "part")}, kind="STANDARD")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)) ORDER BY o_orderkey")
@@ -85,7 +87,7 @@ def q7_top_people_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH roles AS (SELECT l_orderkey AS item, l_suppkey AS person, strftime(o_orderdate, '%Y') AS year FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE strftime(o_orderdate, '%Y') BETWEEN '{YEARS[0]}' AND '{YEARS[1]}'),
 c AS (SELECT a.person AS p1, b.person AS p2, a.year, count(*) AS n FROM roles a JOIN roles b ON a.item = b.item AND a.person < b.person GROUP BY 1, 2, 3)
-SELECT x.s_name AS first, y.s_name AS second, year, n FROM c JOIN supplier x ON p1 = x.s_suppkey JOIN supplier y ON p2 = y.s_suppkey""")
+SELECT x.s_name AS first, y.s_name AS second, year, n FROM c JOIN supplier x ON p1 = x.s_suppkey JOIN supplier y ON p2 = y.s_suppkey ORDER BY year, n DESC, first, second""")
 def q8_coappearance(spark: SparkSession, d: str) -> DataFrame:
     orders = analytics.years_between(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "o_orderdate", *YEARS)
     roles = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).join(orders, "l_orderkey").withColumn("year", text.year(F.col("o_orderdate")))

@@ -143,13 +143,13 @@ def cf_als_topn(spark: SparkSession, d: str) -> DataFrame:
     return model.top(r.filter("user_id <= 10").select("user_id").distinct(), r.select("item_id").distinct()).select("user_id", "item_id", "position")
 
 
-@query("""SELECT '[2025-01-01 00:00:00] user ' || n_regionkey || ', top 3: ' || string_agg(n_name, ', ' ORDER BY p) AS value FROM
+@query("""SELECT '[2025-01-01 00:00:00] User ID: ' || n_regionkey || ', Top N: 3, Recommendations: ' || string_agg(n_name, ', ' ORDER BY p) AS value FROM
 (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS p FROM nation) WHERE p <= 3 GROUP BY n_regionkey""")
 def result_log_line(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     ranked = table(spark, d, "nation").withColumn("position", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))).filter("position <= 3")
-    return sinks.result_lines(ranked.select(F.col("n_regionkey").alias("user_id"), "position", F.col("n_name").alias("title")), F.lit("2025-01-01 00:00:00"))
+    return sinks.result_lines(ranked.select(F.col("n_regionkey").alias("user_id"), "position", F.col("n_name").alias("title")), 3, F.lit("2025-01-01 00:00:00"))
 
 
 @query("""SELECT 'text' AS column_name, count(*) AS n_rows, count(nullif(text, '')) AS n_filled, count(nullif(text, '')) >= count(*) * 0.95 AS complete FROM documents

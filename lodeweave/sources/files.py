@@ -57,9 +57,9 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t.name,) for t in spark.catalog.listTables()], "name string")
 
 
-def query(spark: SparkSession, sql: str, **parameters) -> DataFrame:
-    """SQL with named parameters (:name)."""
-    return spark.sql(sql, args=parameters or None)
+def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None, **parameters) -> DataFrame:
+    """SQL with named parameters (:name), over views and over DataFrames by name ({name})."""
+    return spark.sql(sql, args=parameters or None, **(tables or {}))
 
 
 def sample(df: DataFrame, n: int = 5) -> DataFrame:

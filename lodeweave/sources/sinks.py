@@ -32,12 +32,12 @@ def upsert(changes: DataFrame, path: str, keys: list[str]) -> None:
     spark.read.parquet(staged).write.mode("overwrite").parquet(path)
 
 
-def result_lines(recommendations: DataFrame, stamp: Column | None = None, separator: str = ", ") -> DataFrame:
-    """One line of text a user from (user_id, position, title): when, who, how many, titles in order."""
+def result_lines(recommendations: DataFrame, top_n: int, stamp: Column | None = None, separator: str = ", ") -> DataFrame:
+    """One line of text a user from (user_id, position, title): when, who, how many were asked for, titles in order."""
     titles = F.transform(F.sort_array(F.collect_list(F.struct("position", "title"))), lambda x: x["title"])
     when = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss") if stamp is None else stamp
     per = recommendations.groupBy("user_id").agg(titles.alias("titles"))
-    return per.select(F.concat(F.lit("["), when, F.lit("] user "), F.col("user_id").cast("string"), F.lit(", top "), F.size("titles").cast("string"), F.lit(": "), F.array_join("titles", separator)).alias("value"))
+    return per.select(F.concat(F.lit("["), when, F.lit("] User ID: "), F.col("user_id").cast("string"), F.lit(f", Top N: {top_n}, Recommendations: "), F.array_join("titles", separator)).alias("value"))
 
 
 def log(lines: DataFrame, path: str) -> None:

@@ -130,9 +130,12 @@ def test_sinks(spark, tmp_path):
     sinks.recreate(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), p)
     sinks.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string"), p, ["id"])
     assert rows(spark.read.parquet(p)) == [(1, "a"), (2, "c"), (3, "d")]
-    lines = sinks.result_lines(spark.createDataFrame([(1, 2, "B"), (1, 1, "A")], "user_id int, position int, title string"), F.lit("2025-01-01 00:00:00"))
+    lines = sinks.result_lines(spark.createDataFrame([(1, 2, "B"), (1, 1, "A")], "user_id int, position int, title string"), 3, F.lit("2025-01-01 00:00:00"))
     for _ in range(2):
         sinks.log(lines, str(tmp_path / "log"))
-    assert [r[0] for r in spark.read.text(str(tmp_path / "log")).collect()] == ["[2025-01-01 00:00:00] user 1, top 2: A, B"] * 2
+    assert [r[0] for r in spark.read.text(str(tmp_path / "log")).collect()] == ["[2025-01-01 00:00:00] User ID: 1, Top N: 3, Recommendations: A, B"] * 2
     for kind in ("json", "csv"):
         sinks.export(spark.range(2), str(tmp_path / kind), kind)
+    assert rows(spark.read.json(str(tmp_path / "json"))) == [(0,), (1,)] and rows(spark.read.option("header", True).csv(str(tmp_path / "csv")), "id") == [("0",), ("1",)]
+    sinks.append(spark.createDataFrame([(9, "z")], "id int, v string"), p)
+    assert rows(spark.read.parquet(p))[-1] == (9, "z")
