@@ -2,10 +2,12 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeweave import plans
-from lodeweave.operators import content
+from lodeweave.operators import collaborative, content
+from lodeweave.plans import standins
 
 from tests.conftest import SMALL
 
@@ -30,3 +32,16 @@ def test_best_is_top_of_scored_candidates(spark):
 
 def test_candidates_of_all_users_stay_where_their_user_is(spark):
     assert "Exchange" not in plan(plans.QUERIES["content_all_users"](spark, SMALL))
+
+
+def test_best_of_all_items_are_the_best_estimates(spark):
+    """To the last bit, with users and items that the model doesn't know, and without a join of pairs."""
+    ratings = standins.last_ratings(spark, SMALL).select("user_id", "item_id", (F.col("units") / 10).alias("score"))
+    model = collaborative.fit(ratings, collaborative.Settings(factors=6, rounds=2))
+    users = spark.createDataFrame([(u,) for u in (3, 7, 10**6)], "user_id long")
+    items = ratings.select("item_id").distinct().union(spark.createDataFrame([(10**6,)], "item_id long"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("estimate"), "item_id")
+    slow = model.estimates(users.crossJoin(items)).withColumn("position", F.row_number().over(w)).filter("position <= 40")
+    fast = model.top(users, items, 40)
+    assert fast.dtypes == slow.select(*fast.columns).dtypes and fast.count() == 120 and sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.select(*fast.columns).collect()))
+    assert "UDF" in plan(slow) and "UDF" not in plan(fast)  # that of ALSModel.transform, for which pairs are sent to their users
