@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import ordered, spread
 
 
 def lookup(items: DataFrame, c: str, value) -> DataFrame:
@@ -42,12 +43,17 @@ def top_people(credits: DataFrame, name: str, profit: Column, n: int = 10) -> Da
     return by_count.unionByName(by_profit).distinct()
 
 
-def coappearances(roles: DataFrame, people: DataFrame, item: str, person: str, name: str) -> DataFrame:
-    """first, second, year, n: how often two people were in one item, by year; roles have (item, person, year).
-    In the order of years, most frequent pairs first, ties by name."""
+def pairs(roles: DataFrame, people: DataFrame, item: str, person: str, name: str) -> DataFrame:
+    """first, second, year, n: how often two people were in one item, by year; roles have (item, person, year)."""
     slim = roles.select(item, person, "year")
     a, b = slim.alias("a"), slim.alias("b")
-    pairs = a.join(b, (F.col(f"a.{item}") == F.col(f"b.{item}")) & (F.col(f"a.{person}") < F.col(f"b.{person}")))
-    counts = pairs.groupBy(F.col(f"a.{person}").alias("p1"), F.col(f"b.{person}").alias("p2"), F.col("a.year").alias("year")).agg(F.count("*").alias("n"))
+    both = a.join(b, (F.col(f"a.{item}") == F.col(f"b.{item}")) & (F.col(f"a.{person}") < F.col(f"b.{person}")))
+    # most pairs come once, so they are counted after they are sent, not before too: that would hold them all in the task that joins
+    counts = spread(both.select(F.col(f"a.{person}").alias("p1"), F.col(f"b.{person}").alias("p2"), "a.year"), "p1").groupBy("p1", "p2", "year").agg(F.count("*").alias("n"))
     first, second = people.select(F.col(person).alias("p1"), F.col(name).alias("first")), people.select(F.col(person).alias("p2"), F.col(name).alias("second"))
-    return counts.join(first, "p1").join(second, "p2").select("first", "second", "year", "n").orderBy("year", F.desc("n"), "first", "second")
+    return counts.join(first, "p1").join(second, "p2").select("first", "second", "year", "n")
+
+
+def coappearances(roles: DataFrame, people: DataFrame, item: str, person: str, name: str) -> DataFrame:
+    """`pairs` in the order of years, most frequent pairs first, ties by name."""
+    return ordered(pairs(roles, people, item, person, name), "year", F.desc("n"), "first", "second")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, text
 from ..operators import analytics, content, keys, quality
 from ..operators import ratings as rate
+from ..session import spread
 from ..sources.files import TABLES, table
 from ..sources.files import query as query_sql
 from . import standins
@@ -85,13 +86,18 @@ def q7_top_people_union(spark: SparkSession, d: str) -> DataFrame:
     return analytics.top_people(lines.join(orders, "l_orderkey").join(names, "l_suppkey"), "s_name", F.col("gain") - F.col("cost"))
 
 
+def _roles(spark: SparkSession, d: str) -> DataFrame:
+    orders = analytics.years_between(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "o_orderdate", *YEARS)
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
+    lines, orders = spread(lines, "l_orderkey", of=(lines, orders)), spread(orders, "l_orderkey", of=(lines, orders))
+    return lines.join(orders, "l_orderkey").withColumn("year", text.year(F.col("o_orderdate")))
+
+
 @query(f"""WITH roles AS (SELECT l_orderkey AS item, l_suppkey AS person, strftime(o_orderdate, '%Y') AS year FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE strftime(o_orderdate, '%Y') BETWEEN '{YEARS[0]}' AND '{YEARS[1]}'),
 c AS (SELECT a.person AS p1, b.person AS p2, a.year, count(*) AS n FROM roles a JOIN roles b ON a.item = b.item AND a.person < b.person GROUP BY 1, 2, 3)
 SELECT x.s_name AS first, y.s_name AS second, year, n FROM c JOIN supplier x ON p1 = x.s_suppkey JOIN supplier y ON p2 = y.s_suppkey ORDER BY year, n DESC, first, second""")
 def q8_coappearance(spark: SparkSession, d: str) -> DataFrame:
-    orders = analytics.years_between(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "o_orderdate", *YEARS)
-    roles = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).join(orders, "l_orderkey").withColumn("year", text.year(F.col("o_orderdate")))
-    return analytics.coappearances(roles, table(spark, d, "supplier"), "l_orderkey", "s_suppkey", "s_name")
+    return analytics.coappearances(_roles(spark, d), table(spark, d, "supplier"), "l_orderkey", "s_suppkey", "s_name")
 
 
 @query(f"SELECT p_partkey AS item_id, p_name AS title, tag FROM part JOIN (SELECT DISTINCT item_id, tag FROM ({TAGS_SQL})) ON item_id = p_partkey")

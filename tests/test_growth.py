@@ -1,15 +1,17 @@
 """Steps whose cost must not grow faster than their input: results at the edges, and plans."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodeweave import plans
+from lodeweave import plans, session
 from lodeweave.operators import collaborative, content
 from lodeweave.plans import standins
 
-from tests.conftest import SMALL
+from tests.conftest import SMALL, same
 
 
 def plan(df):
@@ -45,3 +47,23 @@ def test_best_of_all_items_are_the_best_estimates(spark):
     fast = model.top(users, items, 40)
     assert fast.dtypes == slow.select(*fast.columns).dtypes and fast.count() == 120 and sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.select(*fast.columns).collect()))
     assert "UDF" in plan(slow) and "UDF" not in plan(fast)  # that of ALSModel.transform, for which pairs are sent to their users
+
+
+@pytest.fixture
+def large(monkeypatch):
+    """The small tables are treated as large ones, which are cut into many pieces."""
+    monkeypatch.setattr(session, "PIECE", 6_000)
+
+
+@pytest.mark.parametrize("name", ["q8_coappearance"])
+def test_pieces_of_large_tables_give_the_same_rows(name, spark, oracle, large):
+    df = plans.QUERIES[name](spark, SMALL)
+    same(df, oracle, plans.SQL[name])
+    assert "REPARTITION_BY_NUM" in plan(df)
+
+
+def test_pairs_of_large_tables_are_counted_once_and_in_order(spark, large):
+    df = plans.QUERIES["q8_coappearance"](spark, SMALL)
+    rows = [(r["year"], -r["n"], r["first"], r["second"]) for r in df.collect()]
+    assert rows == sorted(rows) and df.rdd.getNumPartitions() > 8
+    assert not re.search(r"REPARTITION_BY_COL|ENSURE_REQUIREMENTS.*\n[^\n]*partial_count", plan(df))
