@@ -213,4 +213,5 @@ SELECT x.s_name AS first, y.s_name AS second, year, n FROM (SELECT a.l_suppkey A
 JOIN orders ON a.l_orderkey = o_orderkey WHERE strftime(o_orderdate, '%Y') BETWEEN '1996' AND '1999' GROUP BY 1, 2, 3) JOIN supplier x ON p1 = x.s_suppkey JOIN supplier y ON p2 = y.s_suppkey)) WHERE nth = 1""")
 def top_pair_by_year(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("year").orderBy(F.desc("n"), "first", "second")
-    return q8_coappearance(spark, d).withColumn("nth", F.row_number().over(w)).filter("nth = 1").select("year", "first", "second", "n")
+    pairs = analytics.pairs(_roles(spark, d), table(spark, d, "supplier"), "l_orderkey", "s_suppkey", "s_name")
+    return pairs.withColumn("nth", F.row_number().over(w)).filter("nth = 1").select("year", "first", "second", "n")

@@ -55,7 +55,7 @@ def large(monkeypatch):
     monkeypatch.setattr(session, "PIECE", 6_000)
 
 
-@pytest.mark.parametrize("name", ["q8_coappearance"])
+@pytest.mark.parametrize("name", ["q8_coappearance", "top_pair_by_year"])
 def test_pieces_of_large_tables_give_the_same_rows(name, spark, oracle, large):
     df = plans.QUERIES[name](spark, SMALL)
     same(df, oracle, plans.SQL[name])
@@ -67,3 +67,7 @@ def test_pairs_of_large_tables_are_counted_once_and_in_order(spark, large):
     rows = [(r["year"], -r["n"], r["first"], r["second"]) for r in df.collect()]
     assert rows == sorted(rows) and df.rdd.getNumPartitions() > 8
     assert not re.search(r"REPARTITION_BY_COL|ENSURE_REQUIREMENTS.*\n[^\n]*partial_count", plan(df))
+
+
+def test_top_pairs_need_no_order_of_all_pairs(spark):
+    assert "rangepartitioning" not in plan(plans.QUERIES["top_pair_by_year"](spark, SMALL))
