@@ -55,7 +55,7 @@ def large(monkeypatch):
     monkeypatch.setattr(session, "PIECE", 6_000)
 
 
-@pytest.mark.parametrize("name", ["q8_coappearance", "top_pair_by_year"])
+@pytest.mark.parametrize("name", ["q8_coappearance", "top_pair_by_year", "user_preference", "last_wins_dedup"])
 def test_pieces_of_large_tables_give_the_same_rows(name, spark, oracle, large):
     df = plans.QUERIES[name](spark, SMALL)
     same(df, oracle, plans.SQL[name])
@@ -71,3 +71,13 @@ def test_pairs_of_large_tables_are_counted_once_and_in_order(spark, large):
 
 def test_top_pairs_need_no_order_of_all_pairs(spark):
     assert "rangepartitioning" not in plan(plans.QUERIES["top_pair_by_year"](spark, SMALL))
+
+
+def test_preferences_count_a_null_tag_in_the_total(spark):
+    tags = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "b")], "item_id long, tag string")
+    ratings = spark.createDataFrame([(7, 1, 30), (7, 2, 60), (8, 3, 50)], "user_id long, item_id long, units long")
+    assert {(r.user_id, r.tag, r.hundredths) for r in content.preferences(ratings, tags).collect()} == {(7, "a", 25), (7, None, 25), (7, "b", 50)}
+
+
+def test_content_of_large_tables(spark, oracle, large):
+    same(plans.QUERIES["content_all_users"](spark, SMALL), oracle, plans.SQL["content_all_users"])
